@@ -112,7 +112,45 @@ select event_id as line_no, 'pii.log' as source_file, event_type, event_id % 11
   else 'fe80::' || cast(1 + event_id % 9000 as string) || ' end' end || ' ok' as raw_line
 from events"""
 
+# resident numbers: even lines carry the right check digit, odd ones a wrong one
+_RRN_HEAD = """'8' || cast(event_id%10 as string) || '0' || cast(1+event_id%9 as string) || '1' || cast(event_id%10 as string)
+ || cast(1+event_id%4 as string) || lpad(cast(event_id%100000 as string),5,'0')"""
+_RRN_SUM = " + ".join(f"cast(substr(head,{i},1) as int)*{w}" for i, w in enumerate([2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5], 1))
+RRN_LOG = f"""
+select line_no, 'rrn.log' as source_file, '주민 ' || substr(head,1,6) || '-' || substr(head,7,6) ||
+ cast(((11 - total % 11) % 10 + line_no % 2) % 10 as string) || ' 확인' as raw_line
+from (select line_no, head, {_RRN_SUM} as total
+ from (select event_id as line_no, {_RRN_HEAD} as head from events) a) b"""
+
+# the same instant in the layouts that a log may use
+STAMP_LOG = """
+select event_id as line_no, case event_id % 9
+ when 0 then 'at ' || substr(cast(ts as string),1,19) || ' x'
+ when 1 then substr(cast(ts as string),1,10) || 'T' || substr(cast(ts as string),12,8) || ' x'
+ when 2 then substr(cast(ts as string),1,10) || 'T' || substr(cast(ts as string),12,8) || 'Z'
+ when 3 then substr(cast(ts as string),1,19) || ',123 x'
+ when 4 then 'h [' || substr(cast(ts as string),9,2) || '/Jan/2024:' || substr(cast(ts as string),12,8) || ' +0900]'
+ when 5 then 'Jan ' || substr(cast(ts as string),9,2) || ' ' || substr(cast(ts as string),12,8) || ' host'
+ when 6 then '2024/01/' || substr(cast(ts as string),9,2) || ' ' || substr(cast(ts as string),12,8)
+ when 7 then '2024-13-01 00:00:00 then ' || substr(cast(ts as string),1,19)
+ else substr(cast(ts as string),1,10) || 'T' || substr(cast(ts as string),12,8) || '.5Z' end as raw_line
+from events"""
+
+# statements with row limits in every dialect
+LIMIT_LOG = """
+select event_id as line_no, case event_id % 6
+ when 0 then 'select a from t limit ' || cast(event_id % 2000 as string)
+ when 1 then 'SELECT a FROM t WHERE ROWNUM <= ' || cast(event_id % 2000 as string)
+ when 2 then 'SELECT a FROM t FETCH FIRST ' || cast(event_id % 2000 as string) || ' ROWS ONLY'
+ when 3 then 'SELECT TOP ' || cast(event_id % 2000 as string) || ' a FROM t'
+ when 4 then 'SELECT * FROM t' || cast(event_id % 7 as string) || ' ;'
+ else 'SELECT * FROM t WHERE k = ' || cast(event_id as string) end as sql, event_id % 2000 as n, event_id % 6 as kind
+from events"""
+
 VIEWS = {
+    "rrn_log": RRN_LOG,
+    "stamp_log": STAMP_LOG,
+    "limit_log": LIMIT_LOG,
     "access_log": ACCESS_LOG,
     "raw_log": RAW_LOG,
     "web_log": WEB_LOG,
