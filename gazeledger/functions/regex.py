@@ -24,6 +24,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column) -> Column:
+    """``value`` itself, kept where it is computed.
+
+    Catalyst pushes filters below a projection by copying the expressions they refer to, which would run
+    costly text work again in every filter. It does not do so across a non-deterministic column, so the
+    value is tied to a condition on the partition number that always holds.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def unmark(text: Column) -> Column:
     """Replace the mark characters one for one, so offsets stay valid."""
     return F.translate(text, OPEN + SHUT + SEP, "\ufffd" * 3)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazeledger.functions import constants as C
-from gazeledger.functions.regex import DOTALL, contains_any, first_group, let, matches, strip
+from gazeledger.functions.regex import DOTALL, contains_any, first_group, let, matches, once, strip
 from gazeledger.params import AuditParams
 
 SHOWING = ["FULL_EXPOSURE", "PARTIAL_EXPOSURE"]
@@ -110,15 +110,15 @@ def estimate_exposure(events: DataFrame, sql: str = "query_text", context: str =
     q = F.col(sql)
     fields = F.array().cast("array<string>")
     staged = events.withColumns({
-        "_select": is_select(q),
-        "is_select_star": select_star(q),
-        "is_sensitive_table": sensitive_table(q),
-        "result_row_count": result_rows(F.concat(F.coalesce(F.col(context), F.lit("")), F.lit(" "), q)),
+        "_select": once(is_select(q)),
+        "is_select_star": once(select_star(q)),
+        "is_sensitive_table": once(sensitive_table(q)),
+        "result_row_count": once(result_rows(F.concat(F.coalesce(F.col(context), F.lit("")), F.lit(" "), q))),
     })
     staged = staged.withColumns({
-        "pii_select_fields": F.when(
-            F.col("_select") & ~F.col("is_select_star"), pii_columns(select_list(q))).otherwise(fields),
-        "pii_where_fields": F.when(F.col("_select"), pii_columns(where_clause(q))).otherwise(fields),
+        "pii_select_fields": once(F.when(
+            F.col("_select") & ~F.col("is_select_star"), pii_columns(select_list(q))).otherwise(fields)),
+        "pii_where_fields": once(F.when(F.col("_select"), pii_columns(where_clause(q))).otherwise(fields)),
     })
     staged = staged.withColumn(
         "pii_select_count",

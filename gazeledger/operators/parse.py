@@ -7,18 +7,21 @@ need the order of lines and use sliced running values.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeledger.functions import constants as C
 from gazeledger.functions import extract
 from gazeledger.functions.regex import (
-    CASE_SENSITIVE, DOTALL, IGNORE_CASE, first_group, group, line_groups, matches, strip,
+    CASE_SENSITIVE, DOTALL, IGNORE_CASE, first_group, group, line_groups, matches, once, strip,
 )
 from gazeledger.functions.timestamps import parse_timestamp
 from gazeledger.operators.ordered import running
 from gazeledger.params import AuditParams
 from gazeledger.schemas import EVENT_COLUMNS
+from gazeledger.session import checked_broadcast, materialise
 
 _KEEP = ["source_file", "line_no", "raw_line"]
 _NO_EXTRA = "map<string,string>"
@@ -50,7 +53,9 @@ def _events(rows: DataFrame, log_type: str, **fields: Column) -> DataFrame:
             col = F.col(name)
         else:
             col = F.lit(None)
-        out.append(col.cast(types.get(name, "string")).alias(name))
+        col = col.cast(types.get(name, "string"))
+        costly = name in ("ts", "user_id", "ip_address", "action", "target", "query_text", "is_bulk", "extra")
+        out.append((once(col) if costly and name in text else col).alias(name))
     return rows.select(*out)
 
 
@@ -70,7 +75,7 @@ def _stamp(text: Column, params: AuditParams) -> Column:
 def parse_web(lines: DataFrame, params: AuditParams) -> DataFrame:
     """Apache/Nginx combined lines; other lines become events that carry only their text."""
     line = F.col("raw_line")
-    rows = skip_blank(lines).withColumn("_m", line_groups(line, C.WEB_LINE, 7, CASE_SENSITIVE))
+    rows = skip_blank(lines).withColumn("_m", once(line_groups(line, C.WEB_LINE, 7, CASE_SENSITIVE)))
     m = lambda i: group(F.col("_m"), i)
     hit = F.col("_m").isNotNull()
     path = m(5)
@@ -93,7 +98,7 @@ def parse_web(lines: DataFrame, params: AuditParams) -> DataFrame:
 def parse_app(lines: DataFrame, params: AuditParams) -> DataFrame:
     """Log4j, then Python logging, then syslog, then a leading timestamp, else the whole line."""
     line = F.col("raw_line")
-    rows = skip_blank(lines, comments=True).withColumn("_log4j", line_groups(line, C.LOG4J_LINE, 5))
+    rows = skip_blank(lines, comments=True).withColumn("_log4j", once(line_groups(line, C.LOG4J_LINE, 5)))
     rows = rows.withColumn(
         "_py", F.when(F.col("_log4j").isNull(), line_groups(line, C.PYLOG_LINE, 4)))
     rows = rows.withColumn(
@@ -132,7 +137,7 @@ def parse_app(lines: DataFrame, params: AuditParams) -> DataFrame:
 
 def parse_generic(lines: DataFrame, params: AuditParams) -> DataFrame:
     """Free-form lines; blank lines and comments are skipped."""
-    rows = lines.withColumn("_text", strip(F.col("raw_line"))).where(
+    rows = lines.withColumn("_text", once(strip(F.col("raw_line")))).where(
         (F.col("_text") != "") & ~F.col("_text").startswith("#"))
     text = F.col("_text")
     return _events(
@@ -151,7 +156,7 @@ def parse_generic(lines: DataFrame, params: AuditParams) -> DataFrame:
 def _pg_or_plain(rows: DataFrame, params: AuditParams) -> DataFrame:
     """PostgreSQL server lines, and any other database line by its general fields."""
     line = F.col("raw_line")
-    rows = rows.withColumn("_m", line_groups(line, C.PG_LINE, 5, DOTALL))
+    rows = rows.withColumn("_m", once(line_groups(line, C.PG_LINE, 5, DOTALL)))
     hit = F.col("_m").isNotNull()
     rows = rows.withColumn("_msg", F.when(hit, strip(F.get(F.col("_m"), 4))))
     msg = F.col("_msg")
@@ -161,7 +166,7 @@ def _pg_or_plain(rows: DataFrame, params: AuditParams) -> DataFrame:
         F.nullif(strip(F.regexp_extract(msg, IGNORE_CASE + C.PG_AUDIT, 3)), F.lit("")),
         msg,
     )
-    rows = rows.withColumn("_sql", F.when(hit, statement).otherwise(line))
+    rows = rows.withColumn("_sql", once(F.when(hit, statement).otherwise(line)))
     sql = F.col("_sql")
     db = group(F.col("_m"), 4)
     return _events(
@@ -181,7 +186,7 @@ def _pg_or_plain(rows: DataFrame, params: AuditParams) -> DataFrame:
 def _marked(lines: DataFrame, params: AuditParams) -> DataFrame:
     """Non-blank lines with the MySQL groups and the slice of lines they belong to."""
     return skip_blank(lines).withColumns({
-        "_my": line_groups(F.col("raw_line"), C.MYSQL_LINE, 4),
+        "_my": once(line_groups(F.col("raw_line"), C.MYSQL_LINE, 4)),
         "_slice": F.floor(F.col("line_no") / params.chunk_lines).cast("bigint"),
     })
 
@@ -230,6 +235,7 @@ def oracle_blocks(marked: DataFrame) -> DataFrame:
         )
         .where("_start or _end")
     )
+    marks = materialise(marks, "marks")  # few lines; read several times below
     both = F.col("_start") & F.col("_end")
     marks = running(marks, ["source_file"], "_slice", ["line_no"], sums={"_flips": both.cast("int")}, include_current=False)
     marks = running(
@@ -244,14 +250,15 @@ def oracle_blocks(marked: DataFrame) -> DataFrame:
         "_closes": F.col("_end") & is_open,
     }).where("_opens or _closes")
     marks = running(marks, ["source_file"], "_slice", ["line_no"], sums={"_block": F.col("_opens").cast("int")})
-    return marks.groupBy("source_file", "_block").agg(
+    blocks = marks.groupBy("source_file", "_block").agg(
         F.min(F.when(F.col("_opens"), F.col("line_no"))).alias("start_line"),
         F.max(F.when(F.col("_closes"), F.col("line_no"))).alias("end_line"),
     ).drop("_block")
+    return materialise(blocks, "blocks")
 
 
 def _oracle_lines(marked: DataFrame, blocks: DataFrame, params: AuditParams) -> DataFrame:
-    """Lines of the files that hold blocks, with ``_block.start_line`` set inside a block."""
+    """Lines with ``_block.start_line`` set inside a block."""
     per_slice = lambda c: F.floor(F.col(c) / params.chunk_lines).cast("bigint").alias("_slice")
     edge = lambda start, end: F.struct(start.alias("start_line"), end.alias("end_line")).alias("_edge")
     nothing = F.lit(None).cast("bigint")
@@ -263,7 +270,6 @@ def _oracle_lines(marked: DataFrame, blocks: DataFrame, params: AuditParams) ->
         per_slice("end_line"), F.lit(2).alias("_role"), edge(nothing, nothing))
     body = (
         marked.where(F.col("_my").isNull())
-        .join(blocks.select("source_file").distinct(), "source_file", "left_semi")
         .select(*_KEEP, "_slice", F.lit(1).alias("_role"),
                 F.lit(None).cast("struct<start_line:bigint,end_line:bigint>").alias("_edge"))
     )
@@ -320,25 +326,36 @@ def parse_postgres(lines: DataFrame, params: AuditParams) -> DataFrame:
 def parse_db(lines: DataFrame, params: AuditParams) -> DataFrame:
     """All database logs: MySQL lines, Oracle blocks, PostgreSQL lines, anything else.
 
-    Files without Oracle marks skip the ordered pass and stay a plain projection.
+    One pass tells which files hold MySQL lines or Oracle marks. Only those files take the ordered passes;
+    all other lines stay a plain projection.
     """
-    marked = _marked(lines, params)
-    blocks = oracle_blocks(marked)
-    with_blocks = blocks.select("source_file").distinct()
-    plain = marked.where(F.col("_my").isNull()).join(with_blocks, "source_file", "left_anti").select(*_KEEP)
-    in_files = _oracle_lines(marked, blocks, params)
-    outside = in_files.where(F.col("_block.start_line").isNull()).select(*_KEEP)
-    return (
-        _mysql(marked, params)
-        .unionByName(_pg_or_plain(plain.unionByName(outside), params))
-        .unionByName(_oracle_events(in_files, params))
-    )
+    line = F.col("raw_line")
+    kinds = checked_broadcast(
+        skip_blank(lines).groupBy("source_file").agg(
+            F.bool_or(matches(line, r"\A" + C.MYSQL_LINE)).alias("_has_mysql"),
+            F.bool_or(matches(line, r"\A" + C.ORACLE_START)).alias("_has_oracle"),
+        ), "kinds")
+    mysql, oracle = kinds.agg(F.bool_or("_has_mysql"), F.bool_or("_has_oracle")).first()
+    if not (mysql or oracle):
+        return _pg_or_plain(skip_blank(lines), params)
+
+    marked = _marked(lines.join(kinds, "source_file"), params)
+    parts = []
+    plain = marked.where(F.col("_my").isNull() & ~F.col("_has_oracle")).select(*_KEEP)
+    if mysql:
+        parts.append(_mysql(marked.where("_has_mysql"), params))
+    if oracle:
+        in_oracle = marked.where("_has_oracle")
+        in_files = materialise(_oracle_lines(in_oracle, oracle_blocks(in_oracle), params), "oracle")
+        plain = plain.unionByName(in_files.where(F.col("_block.start_line").isNull()).select(*_KEEP))
+        parts.append(_oracle_events(in_files, params))
+    return reduce(DataFrame.unionByName, parts, _pg_or_plain(plain, params))
 
 
 def parse_postgres_csv(lines: DataFrame, params: AuditParams) -> DataFrame:
     """PostgreSQL csvlog; lines of another shape are skipped."""
     line = F.col("raw_line")
-    rows = skip_blank(lines).withColumn("_m", line_groups(line, C.PG_CSV, 4)).where(F.col("_m").isNotNull())
+    rows = skip_blank(lines).withColumn("_m", once(line_groups(line, C.PG_CSV, 4))).where(F.col("_m").isNotNull())
     rows = rows.withColumn("_msg", F.coalesce(first_group(line, C.PG_CSV_MESSAGE), line))
     statement = strip(F.regexp_extract(F.col("_msg"), DOTALL + r"\A" + C.PG_STATEMENT, 1))
     rows = rows.withColumn(
@@ -375,15 +392,31 @@ PARSERS = {
 }
 
 
+HEAD_LINES = 1000
+
+
+def _first_lines(lines: DataFrame, count: int) -> DataFrame:
+    """The first ``count`` non-blank lines of every file.
+
+    Nearly always they lie in its first thousand lines, so only these are ranked; later lines are looked
+    at for files that are short of lines there.
+    """
+    full = skip_blank(lines.where(F.col("line_no") <= HEAD_LINES))
+    enough = full.groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
+    late = skip_blank(lines.where(F.col("line_no") > HEAD_LINES)).join(
+        checked_broadcast(enough.select("source_file"), "heads"), "source_file", "left_anti")
+    first = F.row_number().over(Window.partitionBy("source_file").orderBy("line_no"))
+    return full.unionByName(late.select(*full.columns)).withColumn("_n", first).where(F.col("_n") <= count)
+
+
 def detect_format(lines: DataFrame, sample_size: int = 100) -> DataFrame:
-    """Best format per file from its first non-blank lines: ``source_file, format, family``.
+    """Best format per file from its first non-blank lines: ``source_file, format, family, score``.
 
     Score = share of matching lines × weight; the first declared format wins ties. The literal rank bound
     keeps at most ``sample_size`` lines of a file from each task.
     """
     line = F.col("raw_line")
-    first = F.row_number().over(Window.partitionBy("source_file").orderBy("line_no"))
-    sample = skip_blank(lines).withColumn("_n", first).where(F.col("_n") <= sample_size)
+    sample = _first_lines(lines, sample_size)
     scores = sample.groupBy("source_file").agg(*[
         (F.avg(matches(line, pattern, "(?imuUd)").cast("int")) * weight).alias(name)
         for name, pattern, weight, _ in C.FORMAT_SIGNATURES
@@ -408,16 +441,14 @@ def parse(lines: DataFrame, params: AuditParams, log_format: str = "auto") -> Da
     """Events of all lines, with a forced family or the one detected per file."""
     if log_format != "auto":
         return PARSERS[log_format](lines, params)
-    family = detect_format(lines).select("source_file", "family")
-    routed = lines.join(family, "source_file")
+    family = checked_broadcast(detect_format(lines).select("source_file", "family"), "families")
+    present = {row["family"] for row in family.select("family").distinct().collect()}  # at most four
+    routed = lines.join(family, "source_file", "left").withColumn("family", F.coalesce("family", F.lit("generic")))
     parts = [
-        parser(routed.where(F.col("family") == name).select(*_KEEP), params)
-        for name, parser in (("db", parse_db), ("web", parse_web), ("app", parse_app), ("generic", parse_generic))
+        PARSERS[name](routed.where(F.col("family") == name).select(*_KEEP), params)
+        for name in ("db", "web", "app", "generic") if name in present
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts) if parts else parse_generic(lines, params)
 
 
 def parse_counts(lines: DataFrame, events: DataFrame) -> DataFrame:

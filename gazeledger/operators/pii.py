@@ -10,15 +10,30 @@ from pyspark.sql import functions as F
 from gazeledger.functions import constants as C
 from gazeledger.functions.extract import short_hash
 from gazeledger.functions.pii_values import VALIDATORS, mask_value
-from gazeledger.functions.regex import OPEN, SHUT, all_spans, let, matches
+from gazeledger.functions.regex import OPEN, SHUT, all_spans, contains_any, let, once
 from gazeledger.operators.filters import level_rank, scan_gate
 from gazeledger.params import AuditParams
-from gazeledger.schemas import FINDING_COLUMNS, HITS, details_struct
+from gazeledger.schemas import HITS, details_struct
 
 RULES = {name: (pattern, severity, grouped) for name, pattern, severity, grouped in C.PII_RULES}
 
-# A character without which a pattern cannot match: the regex is not even started.
-_NEEDED = {"EMAIL": ["@"], "IP_ADDRESS": [".", "::", ":"]}
+# What a text must hold for a pattern to match at all: a number of digits, and one of some substrings of the
+# lower-cased text. A type whose needs are not met does not start its regex.
+_NEEDS: dict[str, tuple[int, list[str]]] = {
+    "RRN": (13, []),
+    "PHONE": (9, []),
+    "ACCOUNT_NO": (10, ["계좌", "account", "acct", "bankno", "bank_no"]),
+    "CREDIT_CARD": (16, []),
+    "PASSPORT": (7, []),
+    "EMAIL": (0, ["@"]),
+    "NAME_IN_QUERY": (0, ["name", "이름", "성명", "고객명", "사용자명", "담당자", "접속자", "수검자"]),
+    "ADDRESS": (1, ["시", "도", "군", "구"]),
+    # 's' is left out of these words, since a case-blind match also takes the long s
+    "EMP_ID_IN_QUERY": (4, ["emp", "사원", "사번", "직원", "taff_", "er_id", "erid"]),
+    "EMP_ID_STANDALONE": (6, []),
+    "BIRTHDATE": (8, ["birth", "생년월일", "dob"]),
+    "IP_ADDRESS": (0, [".", ":"]),
+}
 
 _SPOKEN = f"[{C.SPOKEN_DIGITS}]"
 _SPOKEN_RUN = rf"{_SPOKEN}(?:[ \t]*-?[ \t]*{_SPOKEN}){{2,}}"
@@ -54,14 +69,15 @@ def type_spans(text: Column, pii_type: str) -> Column:
     spans = all_spans(text, pattern, 1 if grouped else 0)
     if pii_type in VALIDATORS:
         spans = F.filter(spans, lambda s: VALIDATORS[pii_type](s["value"]))
-    if pii_type in _NEEDED:
-        possible = F.lit(False)
-        for mark in _NEEDED[pii_type]:
-            possible = possible | text.contains(mark)
-        spans = F.when(possible, spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
     return spans
 
 
+def _possible(pii_type: str, digits: Column, lower: Column) -> Column:
+    count, words = _NEEDS[pii_type]
+    test = digits >= count if count else F.lit(True)
+    return test & contains_any(lower, words) if words else test
+
+
 def _type_hits(text: Column, pii_type: str) -> Column:
     severity = RULES[pii_type][1]
     return F.transform(
@@ -98,7 +114,17 @@ def resolve_overlaps(by_type: Column) -> Column:
 
 def scan_text(text: Column) -> Column:
     """All hits of one text, in pattern priority order."""
-    return resolve_overlaps(F.array(*[_type_hits(text, name) for name in RULES]))
+
+    def scan(known: Column) -> Column:
+        hits = [
+            F.when(_possible(name, known["digits"], known["lower"]), _type_hits(text, name)).otherwise(
+                F.array().cast(HITS))
+            for name in RULES
+        ]
+        return resolve_overlaps(F.array(*hits))
+
+    digits = F.char_length(F.regexp_replace(text, r"(?U)\D+", ""))
+    return let(F.struct(digits.alias("digits"), F.lower(text).alias("lower")), scan)
 
 
 def first_per_value(hits: Column) -> Column:
@@ -122,18 +148,19 @@ def scan_pii(events: DataFrame, text: str | None = None, log_type: str = "log_ty
     source = F.col(text) if text else F.coalesce(F.nullif("query_text", F.lit("")), F.col("raw_line"))
     kind = F.col(log_type) if log_type in events.columns else F.lit("unknown")
     staged = events.withColumn("_text", source)
-    staged = staged.withColumn("_plain", spoken_digits(F.col("_text")))
+    staged = staged.withColumn("_plain", once(spoken_digits(F.col("_text"))))
     texts = F.when(F.col("_plain") == F.col("_text"), F.array("_text")).otherwise(F.array("_text", "_plain"))
     hits = let(F.flatten(F.transform(texts, scan_text)), first_per_value)
     none = F.array().cast(HITS)
     return staged.withColumn(
-        "pii_hits", F.when(scan_gate(F.col("_plain"), kind), hits).otherwise(none)
+        "pii_hits", F.coalesce(once(F.when(scan_gate(F.col("_plain"), kind), hits)), none)
     ).drop("_text", "_plain")
 
 
 def hits_of_type(df: DataFrame, pii_type: str, text: str, keys: list[str]) -> DataFrame:
     """One row per valid match of one pattern, without the overlap rule."""
-    found = df.select(*keys, F.explode(type_spans(F.col(text), pii_type)).alias("s"))
+    spans = df.select(*keys, once(type_spans(F.col(text), pii_type)).alias("_spans"))
+    found = spans.select(*keys, F.explode("_spans").alias("s"))
     return found.select(
         *keys,
         F.col("s.start").alias("match_start"),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,6 +43,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checked_broadcast(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
+    """Write a table that is expected to be small and broadcast it only if it is: one row per file, for instance."""
+    table = materialise(df, name)
+    return broadcast(table) if table.count() <= rows else table
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a running session; cluster settings such as partition counts stay as they are."""
     for key, value in SETTINGS.items():
