@@ -17,7 +17,7 @@ from gazeledger.params import AuditParams
 from gazeledger.plans.queries_access import P, _us
 from gazeledger.plans.queries_risk import R, _x100, summary_ctes
 from gazeledger.plans.registry import query
-from gazeledger.plans.views import table, view, with_views
+from gazeledger.plans.views import table, texts, view, with_views
 from gazeledger.session import materialise
 
 SEC = "epoch_us(date_trunc('second', ts))"
@@ -240,12 +240,12 @@ def extract_user_id(spark, sf):
 
 @query("extract_ip", r"""select doc_id, nullif(regexp_extract(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b'), '') as ip from documents""")
 def extract_ip(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", extract.ip_address(F.col("text")).alias("ip"))
+    return texts(spark, sf, "documents").select("doc_id", extract.ip_address(F.col("text")).alias("ip"))
 
 
 @query("extract_action", f"""select doc_id, upper(nullif(regexp_extract(text, '(?i){C.ACTION_PATTERN}', 1), '')) as action from documents""")
 def extract_action(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", extract.action(F.col("text")).alias("action"))
+    return texts(spark, sf, "documents").select("doc_id", extract.action(F.col("text")).alias("action"))
 
 
 @query("extract_table", f"""{with_views('raw_log')} select line_no,
@@ -287,7 +287,7 @@ _WORDS = "|".join(C.TRIGGER_KEYWORDS)
 
 @query("quick_filter", f"select doc_id, regexp_matches(lower(text), '{_WORDS}') as passes from documents")
 def quick_filter(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", has_trigger_keyword(F.col("text")).alias("passes"))
+    return texts(spark, sf, "documents").select("doc_id", has_trigger_keyword(F.col("text")).alias("passes"))
 
 
 _SHAPES_SQL = (
@@ -300,7 +300,7 @@ _SHAPES_SQL = (
 
 @query("number_gate", f"select doc_id, regexp_matches(text, '{_SHAPES_SQL}') as passes from documents")
 def number_gate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", has_number_shape(F.col("text")).alias("passes"))
+    return texts(spark, sf, "documents").select("doc_id", has_number_shape(F.col("text")).alias("passes"))
 
 
 # --- personal data --------------------------------------------------------------------
@@ -371,14 +371,14 @@ LUHN_SQL = " + ".join(
 v as (select doc_id, value, list_transform(string_split(regexp_replace(value, '[-\s]', '', 'g'), ''), lambda x: cast(x as integer)) as d from c)
 select doc_id, value, count(*) as n from v where ({LUHN_SQL}) % 10 = 0 group by 1, 2""")
 def pii_card(spark, sf):
-    hits = pii.hits_of_type(table(spark, sf, "documents"), "CREDIT_CARD", "text", ["doc_id"])
+    hits = pii.hits_of_type(texts(spark, sf, "documents"), "CREDIT_CARD", "text", ["doc_id"])
     return hits.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("pii_email", r"""select doc_id, value, count(*) as n from (
  select doc_id, unnest(regexp_extract_all(text, '(?i)\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b')) as value from documents) group by 1, 2""")
 def pii_email(spark, sf):
-    hits = pii.hits_of_type(table(spark, sf, "documents"), "EMAIL", "text", ["doc_id"])
+    hits = pii.hits_of_type(texts(spark, sf, "documents"), "EMAIL", "text", ["doc_id"])
     return hits.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -393,7 +393,7 @@ where not regexp_matches(value, '^(127|0|255)\.') and not regexp_matches(value,
 
 @query("pii_ip", IPV4_SQL)
 def pii_ip(spark, sf):
-    hits = pii.hits_of_type(table(spark, sf, "documents"), "IP_ADDRESS", "text", ["doc_id"])
+    hits = pii.hits_of_type(texts(spark, sf, "documents"), "IP_ADDRESS", "text", ["doc_id"])
     return hits.where(~F.col("value").contains(":")).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -436,20 +436,20 @@ def mask_values(spark, sf):
 @query("pii_scan_documents")
 def pii_scan_documents(spark, sf):
     """Hits per document and type over the whole texts."""
-    scanned = pii.scan_pii(table(spark, sf, "documents"), "text")
+    scanned = pii.scan_pii(texts(spark, sf, "documents"), "text")
     hits = scanned.select("doc_id", F.inline("pii_hits"))
     return hits.groupBy("doc_id", "pii_type").agg(F.count(F.lit(1)).alias("hits"), F.min("match_start").alias("first_start"))
 
 
 @query("pii_scan_pages")
 def pii_scan_pages(spark, sf):
-    hits = pii.scan_pii(table(spark, sf, "pages"), "html").select("page_id", F.inline("pii_hits"))
+    hits = pii.scan_pii(texts(spark, sf, "pages"), "html").select("page_id", F.inline("pii_hits"))
     return hits.groupBy("pii_type").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("page_id").alias("pages"))
 
 
 @query("pii_scan_conversations")
 def pii_scan_conversations(spark, sf):
-    hits = pii.scan_pii(table(spark, sf, "conversations"), "text").select("conv_id", F.inline("pii_hits"))
+    hits = pii.scan_pii(texts(spark, sf, "conversations"), "text").select("conv_id", F.inline("pii_hits"))
     return hits.groupBy("pii_type").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("conv_id").alias("conversations"))
 
 

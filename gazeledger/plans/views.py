@@ -164,13 +164,27 @@ VIEWS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for text work on an input that comes in fewer splits than there are cores.
+
+    A large input has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose whole texts are to be scanned."""
+    return spread(table(spark, sf_dir, name))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = VIEWS[name].replace("from events", "from {events}")
-    return spark.sql(text, events=table(spark, sf_dir, "events"))
+    source = table(spark, sf_dir, "events") if name == "access_log" else texts(spark, sf_dir, "events")
+    return spark.sql(VIEWS[name].replace("from events", "from {events}"), events=source)
 
 
 def with_views(*names: str) -> str:

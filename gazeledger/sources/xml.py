@@ -13,6 +13,7 @@ def read_xml(spark: SparkSession, paths: list[str] | str, row_tag: str, schema:
     """Record elements as rows. Attributes are columns with a leading underscore."""
     return (
         spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE")
+        .option("multiLine", "false")  # records are found by their tag, so that files can be split
         .option("ignoreNamespace", "true").schema(schema).load(paths)
     )
 

@@ -70,18 +70,19 @@ def _day_alerts(params: AuditParams):
             return
         user, day = key
         n, after, bulk, targets, recent, hours = state.get if state.exists else (0, 0, 0, [], [], [])
-        targets, recent, hours = list(targets), list(recent), list(hours)
+        targets, recent, hours = list(targets), list(recent), [int(h) for h in hours]
         known, out = set(targets), []
         rows = pd.concat(list(batches)).sort_values(["ts_us", "source_file", "line_no"])
         for r in rows.itertuples(index=False):
             # the newest max+2 timestamps tell whether the count is exactly max+1
-            recent = [t for t in recent if t >= r.ts_us - _HOUR_US] + [r.ts_us]
+            at = int(r.ts_us)
+            recent = [int(t) for t in recent if t >= at - _HOUR_US] + [at]
             recent = recent[-(hourly + 1):]
             if r.is_context:
                 continue
             n += 1
             fired = [k for k in ("daily", "daily_critical") if n == limits[k][0] and not (same_daily and k != "daily")]
-            hour = int(r.ts_us % _DAY_US // _HOUR_US)
+            hour = at % _DAY_US // _HOUR_US
             if len(recent) == hourly and hour not in hours:
                 hours.append(hour)
                 fired.append("hourly")
@@ -97,8 +98,8 @@ def _day_alerts(params: AuditParams):
                 fired += ["unique_targets"] if len(known) == limits["unique_targets"][0] else []
             out += [
                 (user, k, limits[k][1], limits[k][2], r.ts_us, r.source_file, r.line_no, limits[k][0]) for k in fired]
-        state.update((n, after, bulk, targets, recent, hours))
-        end_of_day = (day + 1) * (_DAY_US // 1000)
+        state.update((int(n), int(after), int(bulk), targets, recent, hours))
+        end_of_day = (int(day) + 1) * (_DAY_US // 1000)
         state.setTimeoutTimestamp(max(end_of_day, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT_SCHEMA.split(", ")])
 
