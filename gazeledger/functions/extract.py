@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gazeledger.functions import constants as C
-from gazeledger.functions.regex import IGNORE_CASE, contains_any, first_group, let, matches
+from gazeledger.functions.regex import first_group, folded, let, matches
 
-_USER_HINTS = ["user", "employee", "emp", "사원번호", "loginid", "account", "["]
+# A substring of the lower-cased text without which each user pattern cannot match.
+_USER_NEEDS = ["user", "employee", "emp", "사원번호", "db user", "loginid", "account", "["]
+_BULK_NEEDS = ["limit", "rownum", "fetch", "top"]
 
 
 def user_id(text: Column) -> Column:
@@ -17,9 +19,13 @@ def user_id(text: Column) -> Column:
     def usable(value: Column) -> Column:
         return F.when((F.char_length(value) >= 2) & ~F.lower(value).isin(C.NOT_USERS), value)
 
-    found = F.coalesce(*[let(first_group(text, p), usable) for p in C.USER_PATTERNS])
-    # 'DB USER' contains 'user', so these words cover every pattern.
-    return F.when(contains_any(F.lower(text), _USER_HINTS), found)
+    def search(low: Column) -> Column:
+        return F.coalesce(*[
+            F.when(low.contains(need), let(first_group(text, p), usable))
+            for need, p in zip(_USER_NEEDS, C.USER_PATTERNS)
+        ])
+
+    return let(folded(text), search)
 
 
 def ip_address(text: Column) -> Column:
@@ -39,14 +45,17 @@ def bulk_flag(sql: Column, row_threshold: int) -> Column:
 
     def large(pattern: str) -> Column:
         return let(
-            F.regexp_extract(sql, IGNORE_CASE + pattern, 1),
-            lambda n: (F.char_length(n) > 18) | (n.try_cast("bigint") >= row_threshold),
+            first_group(sql, pattern),
+            lambda n: F.coalesce((F.char_length(n) > 18) | (n.try_cast("bigint") >= row_threshold), F.lit(False)),
         )
 
-    flag = matches(sql, C.BULK_STAR_PATTERN)
-    for pattern in C.BULK_PATTERNS:
-        flag = flag | F.coalesce(large(pattern), F.lit(False))
-    return flag
+    def test(low: Column) -> Column:
+        flag = low.contains("select") & matches(sql, C.BULK_STAR_PATTERN)
+        for need, pattern in zip(_BULK_NEEDS, C.BULK_PATTERNS):
+            flag = flag | (low.contains(need) & large(pattern))
+        return flag
+
+    return let(folded(sql), test)
 
 
 def query_fingerprint(sql: Column) -> Column:

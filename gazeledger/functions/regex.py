@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 IGNORE_CASE = "(?iuUd)"
 CASE_SENSITIVE = "(?Ud)"
 DOTALL = "(?iuUds)"
+# The same meaning for text without characters beyond ASCII, where the costly Unicode classes are not needed.
+ASCII_IGNORE_CASE = "(?id)"
 
 # Control characters used as marks inside rewritten text.
 OPEN, SHUT, SEP = "\u0001", "\u0002", "\u0003"
@@ -34,9 +36,23 @@ def once(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def folded(text: Column) -> Column:
+    """Lower case for substring gates in front of a case-blind pattern: the letters that such a pattern
+    also takes for i and s count as these."""
+    for odd, plain in (("İ", "i"), ("ı", "i"), ("ſ", "s")):
+        text = F.replace(text, F.lit(odd), F.lit(plain))
+    return F.lower(text)
+
+
 def unmark(text: Column) -> Column:
     """Replace the mark characters one for one, so offsets stay valid."""
-    return F.translate(text, OPEN + SHUT + SEP, "\ufffd" * 3)
+    return F.when(
+        text.rlike(f"[{OPEN}{SHUT}{SEP}]"), F.translate(text, OPEN + SHUT + SEP, "\ufffd" * 3)
+    ).otherwise(text)
 
 
 def matches(text: Column, pattern: str, flags: str = IGNORE_CASE) -> Column:

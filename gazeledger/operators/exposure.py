@@ -6,12 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazeledger.functions import constants as C
-from gazeledger.functions.regex import DOTALL, contains_any, first_group, let, matches, once, strip
+from gazeledger.functions.regex import (
+    ASCII_IGNORE_CASE, DOTALL, IGNORE_CASE, contains_any, first_group, folded, is_ascii, let, matches, once, strip,
+)
 from gazeledger.params import AuditParams
 
 SHOWING = ["FULL_EXPOSURE", "PARTIAL_EXPOSURE"]
 
 
+# Substrings of the lower-cased text, one of which each row-count pattern needs.
+_ROW_NEEDS = [
+    ["rows_sent"], ["processed"], ["rowsaffected", "rowscount"], ["건"], ["건"], ["returned"], ["row"],
+    ["selectlist", "executequery", "findall"], ["count", "size", "rows"], ["fetch"], ["row"], ["rows"], ["affected"],
+]
+
+
 def is_select(sql: Column) -> Column:
     return matches(sql, r"\bSELECT\b")
 
@@ -75,10 +84,19 @@ def pii_columns(clause: Column) -> Column:
 def result_rows(text: Column) -> Column:
     """Row count of the first pattern that gives one; NULL when the log does not tell."""
 
-    def count(pattern: str) -> Column:
-        return F.replace(first_group(text, pattern), F.lit(","), F.lit("")).try_cast("bigint")
+    def count(pattern: str, flags: str) -> Column:
+        digits = F.replace(first_group(text, pattern, flags=flags), F.lit(","), F.lit(""))
+        return F.nullif(digits, F.lit("")).try_cast("bigint")
+
+    def search(low: Column) -> Column:
+        def first(flags: str) -> Column:
+            return F.coalesce(*[
+                F.when(contains_any(low, needs), count(p, flags)) for needs, p in zip(_ROW_NEEDS, C.ROW_COUNT_PATTERNS)
+            ])
+
+        return F.when(is_ascii(text), first(ASCII_IGNORE_CASE)).otherwise(first(IGNORE_CASE))
 
-    return F.when(text.rlike(r"(?U)\d"), F.coalesce(*[count(p) for p in C.ROW_COUNT_PATTERNS]))
+    return F.when(text.rlike(r"(?U)\d"), let(folded(text), search))
 
 
 def select_count(star: Column, sensitive: Column, fields: Column) -> Column:

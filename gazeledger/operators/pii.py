@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from gazeledger.functions import constants as C
 from gazeledger.functions.extract import short_hash
 from gazeledger.functions.pii_values import VALIDATORS, mask_value
-from gazeledger.functions.regex import OPEN, SHUT, all_spans, contains_any, let, once
+from gazeledger.functions.regex import (
+    ASCII_IGNORE_CASE, OPEN, SHUT, all_spans, contains_any, folded, is_ascii, let, once,
+)
 from gazeledger.operators.filters import level_rank, scan_gate
 from gazeledger.params import AuditParams
 from gazeledger.schemas import HITS, details_struct
@@ -28,11 +30,10 @@ _NEEDS: dict[str, tuple[int, list[str]]] = {
     "EMAIL": (0, ["@"]),
     "NAME_IN_QUERY": (0, ["name", "이름", "성명", "고객명", "사용자명", "담당자", "접속자", "수검자"]),
     "ADDRESS": (1, ["시", "도", "군", "구"]),
-    # 's' is left out of these words, since a case-blind match also takes the long s
-    "EMP_ID_IN_QUERY": (4, ["emp", "사원", "사번", "직원", "taff_", "er_id", "erid"]),
+    "EMP_ID_IN_QUERY": (4, ["emp", "사원", "사번", "직원", "staff_", "user_id", "userid"]),
     "EMP_ID_STANDALONE": (6, []),
     "BIRTHDATE": (8, ["birth", "생년월일", "dob"]),
-    "IP_ADDRESS": (0, [".", ":"]),
+    "IP_ADDRESS": (0, []),  # see _address_marks
 }
 
 _SPOKEN = f"[{C.SPOKEN_DIGITS}]"
@@ -57,7 +58,7 @@ def spoken_digits(text: Column) -> Column:
     marked = F.regexp_replace(text, _SPOKEN_RUN, OPEN + "$0" + SHUT)
     converted = let(
         F.split(marked, OPEN, -1), lambda ps: F.when(F.size(ps) > 1, convert(ps)).otherwise(text))
-    return F.when(text.rlike(_SPOKEN), converted).otherwise(text)
+    return F.when(~is_ascii(text) & text.rlike(_SPOKEN), converted).otherwise(text)
 
 
 # --- scan ---------------------------------------------------------------------
@@ -66,14 +67,26 @@ def spoken_digits(text: Column) -> Column:
 def type_spans(text: Column, pii_type: str) -> Column:
     """Valid matches of one pattern as ARRAY<STRUCT<start, end, value>>, in text order."""
     pattern, _, grouped = RULES[pii_type]
-    spans = all_spans(text, pattern, 1 if grouped else 0)
+    value = 1 if grouped else 0
+    spans = F.when(is_ascii(text), all_spans(text, pattern, value, ASCII_IGNORE_CASE)).otherwise(
+        all_spans(text, pattern, value))
     if pii_type in VALIDATORS:
         spans = F.filter(spans, lambda s: VALIDATORS[pii_type](s["value"]))
     return spans
 
 
+def _address_marks(text: Column) -> Column:
+    """Three dots, a double colon or four colons: no IP address goes without."""
+    def count(mark: str) -> Column:
+        return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
+
+    return (count(".") >= 3) | text.contains("::") | (count(":") >= 4)
+
+
 def _possible(pii_type: str, digits: Column, lower: Column) -> Column:
     count, words = _NEEDS[pii_type]
+    if pii_type == "IP_ADDRESS":
+        return _address_marks(lower)
     test = digits >= count if count else F.lit(True)
     return test & contains_any(lower, words) if words else test
 
@@ -124,7 +137,7 @@ def scan_text(text: Column) -> Column:
         return resolve_overlaps(F.array(*hits))
 
     digits = F.char_length(F.regexp_replace(text, r"(?U)\D+", ""))
-    return let(F.struct(digits.alias("digits"), F.lower(text).alias("lower")), scan)
+    return let(F.struct(digits.alias("digits"), folded(text).alias("lower")), scan)
 
 
 def first_per_value(hits: Column) -> Column:
