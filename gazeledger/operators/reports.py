@@ -10,7 +10,6 @@ from gazeledger.operators import justify
 from gazeledger.operators.exposure import exposure_display
 from gazeledger.operators.history import newly_risky, prior_score, signed, trend_word, with_deltas
 from gazeledger.operators.risk import global_stats, pii_types_text
-from gazeledger.params import AuditParams
 
 # How many rows the detail lists show (one row of the sheet limit is its header).
 PII_DETAIL_ROWS = 99_999

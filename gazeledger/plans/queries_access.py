@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeledger.functions.extract import short_hash
 from gazeledger.operators import access, filters, history
 from gazeledger.params import AuditParams
 from gazeledger.plans.registry import query
@@ -124,9 +123,6 @@ surge as (select *, (cnt - avg_cnt) / avg_cnt as ratio from (
  select *, count(*) over w as n_days, avg(cnt) over w as avg_cnt from days
  window w as (partition by user_id order by d rows between 30 preceding and 1 preceding))
  where n_days >= 7 and avg_cnt <> 0 and (cnt - avg_cnt) / avg_cnt > 0.10)"""
-SURGE_ROWS = """select user_id, 'EXCESSIVE_ACCESS' as category, case when ratio >= 0.5 then 'HIGH' else 'MEDIUM' end as severity,
- cast(d as timestamp) as ts, '' as reference, 'surge' as evidence, cnt as measure from surge"""
-
 
 def _alert(name: str, fn) -> None:
     ctes = f"{BASE}, {ROLLING_SQL}" if name == "alert_hourly" else BASE

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from gazeledger.operators import access, exposure, filters, history, justify, reports, risk
 from gazeledger.params import AuditParams
-from gazeledger.plans.queries_access import (
-    ALERT_SQL, BASE, P, ROLLING_SQL, SURGE_ROWS, SURGE_SQL, _finding_sql, _us, log, stats_ctes,
-)
+from gazeledger.plans.queries_access import BASE, ROLLING_SQL, _us, alert_sql, log, stats_ctes
 from gazeledger.plans.registry import query
 from gazeledger.plans.views import view
 from gazeledger.session import materialise
@@ -35,8 +33,6 @@ def _x100(col: str):
 
 def findings_ctes(p: AuditParams) -> str:
     """CTEs ``rolled`` and ``findings`` over ``access_log``: all counter alerts and one finding per personal-data event."""
-    from gazeledger.plans.queries_access import alert_sql
-
     parts = "\nunion all ".join(f"({sql})" for sql in alert_sql(p).values())
     pii = f"""select user_id, 'PII_EXPOSURE' as category,
  case when effective_exposure >= 20000 then 'CRITICAL' when effective_exposure >= 5000 then 'HIGH' else 'HIGH' end as severity,
@@ -495,7 +491,27 @@ def key_findings(spark, sf):
         "timestamp_str", "raw_reference")
 
 
-@query("screen_estimate")
+_HOW = (
+    "\n▶ 실제 화면 내용을 정확히 확인하려면:\n   1) DB 감사 로그에서 해당 세션 ID의 쿼리 및 Rows_sent 확인\n"
+    "   2) 애플리케이션 서버 로그에서 API 응답 내용 또는 화면 렌더링 데이터 확인\n"
+    "   3) DB Performance Schema / Slow Query Log 상세 조회\n"
+    "   4) DLP 솔루션 또는 네트워크 패킷 캡처 (민감정보 탐지 솔루션 연동 시)\n"
+    "   ※ 본 보고서의 수치는 SELECT 쿼리 분석 기반 추정값입니다."
+)
+
+
+# every user of the given tables has shown something, so the text for "nothing shown" is left to the tests
+@query("screen_estimate", f"""{SUMMARY} select user_id, array_to_string(list_filter(['▶ 화면(또는 API 응답) 노출 추정',
+ case when select_pii_query_count > 0 and total_pii_records_exposed > 0 then '   이름·전화번호·주소 등 개인정보 컬럼을 SELECT 절에 포함한 쿼리 '
+  || {_fmt('select_pii_query_count')} || '건이 실행되었으며,
+   이 쿼리들이 반환한 결과 건수를 합산하면 총 ' || {_fmt('total_pii_records_exposed')} || '건의 개인정보 레코드가 화면 또는 응답으로 전달된 것으로 추정됩니다.' end,
+ case when max_single_query_exposure > 0 then '
+   ※ 단일 조회 최대 노출: ' || {_fmt('max_single_query_exposure')} || '건
+      (한 번의 쿼리로 ' || {_fmt('max_single_query_exposure')} || '명 분량의 개인정보가 한꺼번에 반환)' end,
+ case when unknown_exposure_query_count > 0 then '
+   ※ 결과 건수 확인 불가 쿼리 ' || {_fmt('unknown_exposure_query_count')} || '건 추가 존재
+      (로그에 결과 건수가 기록되지 않아 위 수치에 미포함 — 실제 노출량은 더 클 수 있음)' end,
+ '{_HOW}'], lambda x: x is not null), chr(10)) as screen_estimate from summary""")
 def screen_estimate(spark, sf):
     return summary(spark, sf).select("user_id", justify.screen_estimate().alias("screen_estimate"))
 

@@ -11,12 +11,12 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazeledger.operators import access, history, pii, risk
+from gazeledger.operators import access
 from gazeledger.plans.queries_access import BASE, ROLLING_SQL, P, alert_sql, log
 from gazeledger.plans.queries_risk import SUMMARY, audited
 from gazeledger.plans.queries_text import RAW_PHONE, RAW_PII, R, SEC
 from gazeledger.plans.registry import query
-from gazeledger.plans.views import table, texts, view, with_views
+from gazeledger.plans.views import texts, view, with_views
 from gazeledger.session import new_folder
 from gazeledger.sources import records, store, text, xml
 from gazeledger.streaming import alerts

@@ -113,3 +113,12 @@ def test_alert_plan_ranks_only_a_bounded_share(spark):
     events = spark.createDataFrame(make_rows(n=20), SCHEMA)
     plan = access.day_alerts(events, AuditParams())._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_nothing_shown_text(spark):
+    from gazeledger.operators.justify import screen_estimate
+
+    zero = {c: 0 for c in ("total_pii_records_exposed", "select_pii_query_count", "max_single_query_exposure",
+                           "unknown_exposure_query_count")}
+    text = spark.range(1).select(*[F.lit(v).alias(c) for c, v in zero.items()]).select(screen_estimate().alias("t")).first()["t"]
+    assert text.startswith("▶ 화면 직접 노출 추정 불가") and text.count("\n") == 3
