@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazeledger.llm import language, main_text, packing, quality, secrets, warc
+from gazeledger.llm import language, main_text, near_text, packing, quality, secrets, warc
 from gazeledger.llm.common import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_text(table(spark, sf_dir, "pages"), main_text.train())
 
 
+def op9_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_warc": op5_warc,
     "op7_main_text": op7_main_text,
+    "op9_near_text": op9_near_text,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
