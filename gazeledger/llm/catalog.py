@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazeledger.llm import language, main_text, near_text, packing, quality, secrets, warc
+from gazeledger.llm import language, main_text, near_text, packing, quality, repeats, secrets, warc
 from gazeledger.llm.common import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_text(table(spark, sf_dir, "pages"), main_text.train())
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_secrets": op4_secrets,
     "op5_warc": op5_warc,
+    "op6_repeats": op6_repeats,
     "op7_main_text": op7_main_text,
     "op9_near_text": op9_near_text,
     "op10_packing": op10_packing,
