@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazeledger.llm import decontaminate, language, main_text, near_text, packing, quality, repeats, secrets, warc
+from gazeledger.llm import decontaminate, embeddings, language, main_text, near_text, packing, quality, repeats, secrets, warc
 from gazeledger.llm.common import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +44,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_text(table(spark, sf_dir, "pages"), main_text.train())
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_repeats": op6_repeats,
     "op7_main_text": op7_main_text,
+    "op8_embeddings": op8_embeddings,
     "op9_near_text": op9_near_text,
     "op10_packing": op10_packing,
 }
