@@ -31,7 +31,7 @@ from gazeledger.llm.shingles import EMPTY, ROWS, band_keys, bands_for, distinct_
 
 MISS = 1e-6
 SMALL_BUCKET = 32
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
 DEVIATIONS = 4.5  # by which an estimate may lie too low
 SIGNATURE = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, registers binary"
 
