@@ -72,10 +72,10 @@ def _named_month(text: Column, pattern: str, day: int, month: int, clock: int, y
     )
 
 
-def parse_timestamp(text: Column, year_hint: int, mode: str = "reference") -> Column:
+def parse_timestamp(text: Column, year_hint: int, mode: str = "strict") -> Column:
     """First stamp that some layout accepts, tried as ISO, Apache, syslog, slash date.
 
-    Offsets are dropped, not applied. ``reference`` leaves comma milliseconds and fraction + ``Z`` as NULL;
+    Offsets are dropped, not applied. ``strict`` leaves comma milliseconds and fraction + ``Z`` as NULL;
     ``lenient`` accepts both. A stamp without a year, or with year 1900, gets ``year_hint``.
     """
     iso = let(

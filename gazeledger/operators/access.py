@@ -297,18 +297,19 @@ def _optional(df: DataFrame, name: str, cast: str) -> Column:
 
 
 def alert_single_exposure(events: DataFrame, params: AuditParams) -> DataFrame:
-    """Single query over the exposure limits, once per user, day, line number and level."""
+    """Single query over the exposure limits, once per user, day, line (of a file) and level."""
     exposure = F.col("effective_exposure")
     staged = events.where(
         (exposure > 0)
         & (exposure >= min(params.pii_single_query_high, params.pii_single_query_critical))
     ).select(
         "user_id",
+        "source_file",
         "line_no",
         F.to_date("ts").alias("d"),
         F.when(exposure >= params.pii_single_query_critical, "CRITICAL").otherwise("HIGH").alias("severity"),
         F.struct(
-            "ts", "source_file", exposure.alias("exposure"),
+            "ts", exposure.alias("exposure"),
             _optional(events, "result_row_count", "bigint").alias("result_rows"),
             _optional(events, "pii_select_fields", "array<string>").alias("pii_fields"),
             _optional(events, "pii_select_count", "int").alias("field_count"),
@@ -316,9 +317,9 @@ def alert_single_exposure(events: DataFrame, params: AuditParams) -> DataFrame:
         ).alias("row"),
     )
     rows = (
-        staged.groupBy("user_id", "d", "line_no", "severity")
-        .agg(F.min_by("row", F.struct("row.ts", "row.source_file")).alias("row"))
-        .select("user_id", "d", "line_no", "severity", "row.*")
+        staged.groupBy("user_id", "d", "source_file", "line_no", "severity")
+        .agg(F.min_by("row", "row.ts").alias("row"))
+        .select("user_id", "d", "source_file", "line_no", "severity", "row.*")
     )
     return _finding(
         rows, "PII_RECORD_EXPOSURE", F.col("severity"),
@@ -439,7 +440,7 @@ def alert_keys(findings: DataFrame) -> DataFrame:
                F.concat(F.lit("single_exposure_"), F.lower("severity"))),
         F.lit("unique_targets"),
     )
-    line = F.when(F.col("category") == "PII_RECORD_EXPOSURE", F.element_at(F.split("raw_reference", ":"), -1))
+    line = F.when(F.col("category") == "PII_RECORD_EXPOSURE", F.col("raw_reference"))
     slot = F.when(d["window"] == "hourly", d["hour"]).otherwise(F.date_format("ts", "yyyy-MM-dd"))
     return findings.withColumn("alert_key", F.concat_ws("|", kind, "user_id", slot, line))
 

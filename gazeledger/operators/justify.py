@@ -207,7 +207,7 @@ def key_finding_rows(findings: DataFrame, summary: DataFrame) -> DataFrame:
         exposed.alias("effective_exposure"),
         F.coalesce(d["original_value"], F.lit("")).alias("original_value"),
         F.coalesce(d["redacted_value"], F.lit("")).alias("redacted_value"),
-        F.substring(F.coalesce("evidence", F.lit("")), 1, 250).alias("evidence"),
+        F.coalesce("evidence", F.lit("")).alias("evidence"),
         "raw_reference",
         line.alias("summary"),
     )

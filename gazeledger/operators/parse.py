@@ -7,6 +7,7 @@ need the order of lines and use sliced running values.
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,7 +67,7 @@ def skip_blank(lines: DataFrame, comments: bool = False) -> DataFrame:
 
 
 def _stamp(text: Column, params: AuditParams) -> Column:
-    return parse_timestamp(text, params.year_hint, params.ts_mode)
+    return parse_timestamp(text, params.year_hint or date.today().year, params.ts_mode)
 
 
 # --- web ----------------------------------------------------------------------
@@ -296,7 +297,7 @@ def _oracle_events(lines: DataFrame, params: AuditParams) -> DataFrame:
     sql = F.coalesce(F.col("_sql"), F.col("_text"))
     return _events(
         rows, "db",
-        raw_line=F.substring("_text", 1, 500),
+        raw_line=F.col("_text"),
         ts=_stamp(F.col("_stamp"), params),
         user_id=F.coalesce("_db_user", "_os_user"),
         action=F.col("_action"),
@@ -365,7 +366,7 @@ def parse_postgres_csv(lines: DataFrame, params: AuditParams) -> DataFrame:
     db = group(F.col("_m"), 3)
     return _events(
         rows, "db",
-        raw_line=F.substring(line, 1, 500),
+        raw_line=line,
         ts=_stamp(F.get("_m", 0), params),
         user_id=F.get("_m", 1),
         ip_address=F.get("_m", 3),
@@ -392,31 +393,17 @@ PARSERS = {
 }
 
 
-HEAD_LINES = 1000
+def detect_format(lines: DataFrame, sample_size: int | None = None) -> DataFrame:
+    """Best format per file from its non-blank lines: ``source_file, format, family, score``.
 
-
-def _first_lines(lines: DataFrame, count: int) -> DataFrame:
-    """The first ``count`` non-blank lines of every file.
-
-    Nearly always they lie in its first thousand lines, so only these are ranked; later lines are looked
-    at for files that are short of lines there.
-    """
-    full = skip_blank(lines.where(F.col("line_no") <= HEAD_LINES))
-    enough = full.groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
-    late = skip_blank(lines.where(F.col("line_no") > HEAD_LINES)).join(
-        checked_broadcast(enough.select("source_file"), "heads"), "source_file", "left_anti")
-    first = F.row_number().over(Window.partitionBy("source_file").orderBy("line_no"))
-    return full.unionByName(late.select(*full.columns)).withColumn("_n", first).where(F.col("_n") <= count)
-
-
-def detect_format(lines: DataFrame, sample_size: int = 100) -> DataFrame:
-    """Best format per file from its first non-blank lines: ``source_file, format, family, score``.
-
-    Score = share of matching lines × weight; the first declared format wins ties. The literal rank bound
-    keeps at most ``sample_size`` lines of a file from each task.
+    Score = share of matching lines × weight; the first declared format wins ties. One aggregate over all lines; with
+    ``sample_size`` only that many first lines of a file count, and the rank bound keeps no more of them from each task.
     """
     line = F.col("raw_line")
-    sample = _first_lines(lines, sample_size)
+    sample = skip_blank(lines)
+    if sample_size is not None:
+        first = F.row_number().over(Window.partitionBy("source_file").orderBy("line_no"))
+        sample = sample.withColumn("_n", first).where(F.col("_n") <= sample_size)
     scores = sample.groupBy("source_file").agg(*[
         (F.avg(matches(line, pattern, "(?imuUd)").cast("int")) * weight).alias(name)
         for name, pattern, weight, _ in C.FORMAT_SIGNATURES

@@ -9,7 +9,7 @@ from gazeledger.functions import constants as C
 from gazeledger.functions.extract import short_hash
 from gazeledger.functions.pii_values import VALIDATORS, mask_value
 from gazeledger.functions.regex import (
-    ASCII_IGNORE_CASE, OPEN, SHUT, all_spans, contains_any, folded, is_ascii, let, once,
+    ASCII_IGNORE_CASE, OPEN, SHUT, all_spans, contains_any, folded, is_ascii, let, once, unmark,
 )
 from gazeledger.operators.filters import level_rank, scan_gate
 from gazeledger.params import AuditParams
@@ -53,7 +53,7 @@ def spoken_digits(text: Column) -> Column:
         return F.concat(
             F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces) - 1), piece), ""))
 
-    marked = F.regexp_replace(text, _SPOKEN_RUN, OPEN + "$0" + SHUT)
+    marked = F.regexp_replace(unmark(text), _SPOKEN_RUN, OPEN + "$0" + SHUT)
     converted = let(
         F.split(marked, OPEN, -1), lambda ps: F.when(F.size(ps) > 1, convert(ps)).otherwise(text))
     return F.when(~is_ascii(text) & text.rlike(_SPOKEN), converted).otherwise(text)
@@ -205,15 +205,15 @@ def severity_score(severity: Column) -> Column:
 
 
 def evidence_snippet(text: Column, start: Column, end: Column, pii_type: Column, value: Column) -> Column:
-    """The first 200 characters with a ``[TYPE:value]`` tag in place of the match, at most 300 long."""
-    context = F.substring(text, 1, 200)
-    return F.substring(
-        F.concat(
-            F.substring(context, F.lit(1), start),
-            F.lit("["), pii_type, F.lit(":"), value, F.lit("]"),
-            F.substring(context, end + 1, F.lit(200)),
-        ),
-        1, 300,
+    """A stretch of the text with a ``[TYPE:value]`` tag in place of the match: the first 200 characters if the match lies
+    in them, else the match with up to 100 characters on either side."""
+    early = end <= 200
+    first = F.when(early, F.lit(0)).otherwise(F.greatest(start - 100, F.lit(0)))
+    after = F.when(early, 200 - end).otherwise(F.lit(100))
+    return F.concat(
+        F.substring(text, first + 1, start - first),
+        F.lit("["), pii_type, F.lit(":"), value, F.lit("]"),
+        F.substring(text, end + 1, after),
     )
 
 

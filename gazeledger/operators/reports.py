@@ -11,10 +11,6 @@ from gazeledger.operators.exposure import exposure_display
 from gazeledger.operators.history import newly_risky, prior_score, signed, trend_word, with_deltas
 from gazeledger.operators.risk import global_stats, pii_types_text
 
-# How many rows the detail lists show (one row of the sheet limit is its header).
-PII_DETAIL_ROWS = 99_999
-FINDING_LIST_ROWS = 5_000
-
 
 def rpt_summary(summary: DataFrame) -> DataFrame:
     return global_stats(summary)
@@ -49,11 +45,13 @@ def _types_text() -> Column:
     return F.when(F.size("pii_types") > 0, F.array_join("pii_types", ", ")).otherwise("-")
 
 
-def rpt_pii_detail(findings: DataFrame, summary: DataFrame, unmask: bool = False, rows: int = PII_DETAIL_ROWS) -> DataFrame:
-    """Personal-data findings in rank order; the value is masked unless asked otherwise."""
+def rpt_pii_detail(findings: DataFrame, summary: DataFrame, unmask: bool = False, rows: int | None = None) -> DataFrame:
+    """Personal-data findings in rank order; the value is masked unless asked otherwise. ``rows`` limits the list where a
+    report shows only its top."""
     d = F.col("details")
     value = d["original_value"] if unmask else d["redacted_value"]
-    listed = _in_rank_order(findings.where(F.col("category") == "PII_EXPOSURE"), summary).orderBy(*_order()).limit(rows)
+    listed = _in_rank_order(findings.where(F.col("category") == "PII_EXPOSURE"), summary).orderBy(*_order())
+    listed = listed.limit(rows) if rows is not None else listed
     return listed.select(
         "user_id",
         justify.time_text(F.col("ts")).alias("timestamp_str"),
@@ -62,7 +60,7 @@ def rpt_pii_detail(findings: DataFrame, summary: DataFrame, unmask: bool = False
         justify._labels(C.DETAIL_EXPOSURE_LABELS, d["exposure_type"], F.coalesce(d["exposure_type"], F.lit(""))).alias("exposure_label"),
         F.coalesce(d["result_row_count"].cast("string"), F.lit("건수미확인")).alias("result_rows"),
         justify.level_label(F.col("risk_level")).alias("risk_label"),
-        F.substring("evidence", 1, 300).alias("evidence"),
+        "evidence",
         "raw_reference",
     )
 
@@ -77,7 +75,7 @@ def rpt_finding_detail(findings: DataFrame, summary: DataFrame, rows: int | None
         justify.category_label(F.col("category"), detail=True).alias("category_label"),
         _types_text().alias("pii_types_str"),
         justify.level_label(F.col("risk_level")).alias("risk_label"),
-        F.substring("evidence", 1, 300).alias("evidence"),
+        "evidence",
         "raw_reference",
     )
 
@@ -111,7 +109,7 @@ def rpt_evidence(items: DataFrame, unmask: bool = False) -> DataFrame:
         "exposure_type_kr",
         F.coalesce(F.col("result_rows").cast("string"), F.lit("미상")).alias("result_rows"),
         "evidence", "raw_reference", "finding_rank",
-        F.substring("screen_estimate", 1, 300).alias("screen_estimate"),
+        "screen_estimate",
     )
 
 

@@ -36,15 +36,15 @@ class AuditParams:
     closest_tolerance_days: int = 3
 
     # Settings of this engine.
-    year_hint: int = 2024          # year given to timestamps that carry none
-    ts_mode: str = "reference"     # or "lenient": also accept ',ms' and fraction + 'Z'
+    year_hint: int | None = None   # year given to timestamps that carry none; a run takes that of its period, else today's
+    ts_mode: str = "strict"        # or "lenient": also accept ',ms' and fraction + 'Z'
     chunk_minutes: int = 10        # time slice that bounds one window group; divides 60
     chunk_lines: int = 100_000     # line slice that bounds one per-file window group
 
     def __post_init__(self) -> None:
         if self.chunk_minutes < 1 or 60 % self.chunk_minutes:
             raise ValueError("chunk_minutes must divide 60")
-        if self.ts_mode not in ("reference", "lenient"):
+        if self.ts_mode not in ("strict", "lenient"):
             raise ValueError(f"unknown ts_mode {self.ts_mode!r}")
 
     def with_overrides(self, overrides: dict[str, Any]) -> "AuditParams":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +82,8 @@ def run_audit(
     params = params or AuditParams()
     start = date.fromisoformat(str(start))
     end = date.fromisoformat(str(end))
+    if params.year_hint is None:
+        params = replace(params, year_hint=end.year)
     lines = read_log_lines(spark, log_files)
     parsed = parse.parse(lines, params, log_format)
     events = materialise(scan_events(parsed, start, end), "events")

@@ -14,7 +14,7 @@ from gazeledger.plans.views import view, with_views
 TEST_PARAMS = AuditParams(
     max_queries_per_day=4, critical_queries_per_day=6, max_queries_per_hour=1, critical_queries_per_hour=5,
     after_hours_threshold=1, bulk_export_per_day=1, unique_targets_per_day=4,
-    pii_single_query_high=2_500, pii_single_query_critical=10_000,
+    pii_single_query_high=2_500, pii_single_query_critical=10_000, year_hint=2024,
 )
 P = TEST_PARAMS
 BASE = with_views("access_log")
@@ -204,7 +204,8 @@ def finding_id(spark, sf):
 
 @query("alert_dedup", f"""{BASE}
 select 'bulk|' || user_id || '|' || cast(cast(ts as date) as varchar) as alert_key, count(*) as n,
- min(ts) is not null as kept from access_log where is_bulk group by 1""")
+ strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as kept_at, arg_min({REF}, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || {REF}) as kept
+ from access_log where is_bulk group by 1""")
 def alert_dedup(spark, sf):
     """Every bulk read raised as an alert, reduced to the first per user and day."""
     rows = log(spark, sf).where("is_bulk").withColumn("d", F.to_date("ts"))
@@ -212,7 +213,7 @@ def alert_dedup(spark, sf):
         rows, "BULK_EXPORT", "HIGH", F.lit(""), {"date": F.col("d").cast("string")})
     once = access.alert_dedup(raised)
     counts = access.alert_keys(raised).groupBy("alert_key").agg(F.count(F.lit(1)).alias("n"))
-    return once.join(counts, "alert_key").select("alert_key", "n", F.col("ts").isNotNull().alias("kept"))
+    return once.join(counts, "alert_key").select("alert_key", "n", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("kept_at"), F.col("raw_reference").alias("kept"))
 
 
 # --- filters --------------------------------------------------------------------

@@ -19,7 +19,7 @@ R = AuditParams(
     max_queries_per_day=4, critical_queries_per_day=6, max_queries_per_hour=1, critical_queries_per_hour=5,
     after_hours_threshold=3, bulk_export_per_day=12, unique_targets_per_day=12,
     pii_exposure_medium=20_000, pii_exposure_high=60_000, pii_exposure_critical=400_000,
-    pii_single_query_high=9_000, pii_single_query_critical=30_000,
+    pii_single_query_high=9_000, pii_single_query_critical=30_000, year_hint=2024,
 )
 
 
@@ -549,7 +549,7 @@ def rpt_users(spark, sf):
  coalesce(cast(a.result_row_count as varchar), '건수미확인') as result_rows, {LABEL_SQL.format('s.risk_level')} as risk_label, reference as raw_reference
  from findings f join summary s on s.user_id = f.user_id
  join access_log a on a.source_file || ':' || cast(a.line_no as varchar) = f.reference where category = 'PII_EXPOSURE'
- order by s.risk_score desc, f.user_id, f.ts limit 99999""")
+ order by s.risk_score desc, f.user_id, f.ts""")
 def rpt_pii_detail(spark, sf):
     return reports.rpt_pii_detail(*audited(spark, sf)).drop("value", "evidence")
 
@@ -604,3 +604,13 @@ def rpt_display(spark, sf):
     return shown.select(
         "user_id", F.get(parts, 1).alias("raw_reference"), "timestamp_str", "pii_types_str", "severity_label",
         F.get(parts, 0).alias("category"))
+
+
+@query("field_labels", """select event_id as line_no, case event_id % 4 when 0 then '개인정보 컬럼' when 1 then '이름, 전화번호'
+ when 2 then '이메일, other_column, 카드번호' else '생년월일' end as labels from events""")
+def field_labels(spark, sf):
+    """Names of selected columns as labels: known and unknown ones, in either case, repeated, and none."""
+    fields = [[], ["NAME", "phone", "name", "tel"], ["email", "other_column", "card_no", "Mail"], ["dob", "birthdate"]]
+    arrays = F.array(*[F.array(*[F.lit(x) for x in own]).cast("array<string>") for own in fields])
+    return spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("event_id").alias("line_no"), justify.field_labels(F.get(arrays, (F.col("event_id") % 4).cast("int"))).alias("labels"))

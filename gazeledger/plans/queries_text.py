@@ -201,6 +201,13 @@ select source_file, case when {best} = 0 then 'generic' {pick} end as format, ca
 
 @query("format_detect", _detect_sql())
 def format_detect(spark, sf):
+    """The rule that looks at the first hundred lines of a file."""
+    found = parse.detect_format(_all_logs(spark, sf), 100)
+    return found.select("source_file", "format", "family", F.floor(F.col("score") * 1000 + 0.5).cast("bigint").alias("score_x1000"))
+
+
+@query("format_detect_whole", _detect_sql().replace("where rn <= 100", ""))
+def format_detect_whole(spark, sf):
     found = parse.detect_format(_all_logs(spark, sf))
     return found.select("source_file", "format", "family", F.floor(F.col("score") * 1000 + 0.5).cast("bigint").alias("score_x1000"))
 
@@ -346,12 +353,17 @@ PLANTED = {
 }
 
 
+def _planted_hits(spark, sf, name: str, pii_type: str):
+    hits = _hits(spark, sf, "pii_log", pii_type)
+    return hits.where(~F.col("value").contains("::")) if name == "pii_ip_planted" else hits  # pii_ipv6 has the others
+
+
 def _planted_query(name: str) -> None:
     pii_type, kind, value, masked, where = PLANTED[name]
 
     @query(name, _planted(kind, value, masked, where))
     def run(spark, sf):
-        return _hits(spark, sf, "pii_log", pii_type).where(~F.col("value").contains("::"))
+        return _planted_hits(spark, sf, name, pii_type)
 
 
 for _name in PLANTED:
@@ -416,14 +428,15 @@ def overlap_resolve(spark, sf):
     return scanned.select("line_no", F.inline("pii_hits")).select("line_no", "pii_type", "original_value", "redacted_value")
 
 
-@query("dual_scan_dedup", f"select event_id as line_no, 'PHONE' as pii_type, {PHONE} as original_value, cast(5 as bigint) as match_start from events")
+@query("dual_scan_dedup", f"""{with_views('hangul_log')} select line_no, 'PHONE' as pii_type, {PHONE.replace('event_id', 'line_no')} as original_value,
+ cast(length(raw_line) + length(' client ') as bigint) as match_start from hangul_log""")
 def dual_scan_dedup(spark, sf):
     """Spoken and written form of one number on one line: a single hit."""
     lines = view(spark, sf, "hangul_log")
     both = lines.withColumn("raw_line", F.concat("raw_line", F.lit(" client "), F.substring(pii.spoken_digits(F.col("raw_line")), 6, 13)))
     hits = pii.scan_pii(both, "raw_line").select("line_no", F.inline("pii_hits"))
-    # the written form is met first, in the text as it stands; its offset depends on the blanks before it
-    return hits.select("line_no", "pii_type", "original_value", (F.col("match_start") * 0 + 5).cast("bigint").alias("match_start"))
+    # the written form is met first, in the text as it stands
+    return hits.select("line_no", "pii_type", "original_value", F.col("match_start").cast("bigint").alias("match_start"))
 
 
 @query("mask_value", f"""select pii_type, redacted_value, count(*) as n from ({_scan_sql()}) group by 1, 2""")

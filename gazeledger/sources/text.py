@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 # Small per-split and per-file tables are broadcast up to this many rows (a row is some 200 bytes).
 BROADCAST_ROWS = 100_000
 
-# How far into a file the charset test looks, and the charsets after UTF-8.
-SNIFF_CHARS = 4096
+# The charsets after UTF-8.
 KOREAN_CHARSET, LAST_CHARSET = "MS949", "ISO-8859-1"
 
 
@@ -62,17 +61,8 @@ def _decoded(value: Column, charset: str) -> Column:
 
 
 def file_charsets(lines: DataFrame) -> DataFrame:
-    """Charset per file from its first 4096 characters: UTF-8, else Korean, else Latin-1.
-
-    A line takes one character at least, so 4096 lines per file are enough.
-    """
-    before = Window.partitionBy("source_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    head = (
-        lines.where(F.col("line_no") <= SNIFF_CHARS)
-        .withColumn("_seen", F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0)))
-        .where(F.col("_seen") < SNIFF_CHARS)
-    )
-    fits = head.groupBy("source_file").agg(
+    """Charset per file from all of its lines: UTF-8, else Korean, else Latin-1. One aggregate, combined on the map side."""
+    fits = lines.groupBy("source_file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
         F.bool_and(~_decoded(F.col("value"), KOREAN_CHARSET).contains("�")).alias("korean"),
     )

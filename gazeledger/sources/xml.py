@@ -1,7 +1,13 @@
-"""XML audit files: one row per record element, and its content as log lines."""
+"""XML audit files: one row per record element, and its content as log lines.
+
+Files are split at the closing tags of records, so a file of any layout (indented, all in one line, nested elements) is
+read in parallel. What lies outside the records and records that are not well-formed become plain lines: no text is lost.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,13 +15,48 @@ from pyspark.sql import types as T
 _VALUE = "_VALUE"
 
 
+_BROKEN = "_broken_record"
+
+
+def _pieces(spark: SparkSession, paths: list[str] | str, row_tag: str, schema: T.StructType) -> DataFrame:
+    """``source_file, piece, record, row, outside``: a record's text, its parsed columns, and the text before it.
+
+    Records without content (``<tag ... />``) stand in pieces of their own.
+    """
+    tag = re.escape(row_tag)
+    parts = spark.read.option("lineSep", f"</{row_tag}>").text(paths).select(
+        F.regexp_replace(F.col("_metadata.file_path"), r"^file:(?://)?", "").alias("source_file"),
+        F.monotonically_increasing_id().alias("piece"), "value")
+    whole = rf"(?s)\A(.*)(<{tag}(?:\s[^<>]*)?(?<!/)>.*)\z"
+    empty = rf"<{tag}(?:\s[^<>]*)?/>"
+    opened = F.regexp_extract("value", whole, 2)
+    outside = F.when(opened != "", F.regexp_extract("value", whole, 1)).otherwise(F.col("value"))
+    parts = parts.select(
+        "source_file", "piece", F.nullif(opened, F.lit("")).alias("opened"), outside.alias("outside"))
+    records = F.concat(
+        F.regexp_extract_all("outside", F.lit(f"({empty})"), 1),
+        F.when(F.col("opened").isNotNull(), F.array(F.concat("opened", F.lit(f"</{row_tag}>")))).otherwise(F.array().cast("array<string>")))
+    split = parts.select(
+        "source_file", "piece", F.regexp_replace("outside", empty, " ").alias("outside"), F.posexplode_outer(records).alias("place", "record"))
+    full = T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN, "ignoreNamespace": "true"}
+    return split.select(
+        "source_file", "piece", "place", "record", F.from_xml("record", full, options).alias("row"),
+        F.when(F.coalesce("place", F.lit(0)) == 0, F.col("outside")).alias("outside"))
+
+
+def _schema(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _sound() -> Column:
+    return F.col("record").isNotNull() & F.col("row").isNotNull() & F.col(f"row.{_BROKEN}").isNull()
+
+
 def read_xml(spark: SparkSession, paths: list[str] | str, row_tag: str, schema: T.StructType | str) -> DataFrame:
-    """Record elements as rows. Attributes are columns with a leading underscore."""
-    return (
-        spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE")
-        .option("multiLine", "false")  # records are found by their tag, so that files can be split
-        .option("ignoreNamespace", "true").schema(schema).load(paths)
-    )
+    """Well-formed record elements as rows. Attributes are columns with a leading underscore."""
+    fields = _schema(schema)
+    return _pieces(spark, paths, row_tag, fields).where(_sound()).select("row.*").drop(_BROKEN)
 
 
 def _local(name: str) -> str:
@@ -84,11 +125,15 @@ def xml_lines(rows: DataFrame, row_tag: str) -> DataFrame:
 
 
 def xml_raw_lines(spark: SparkSession, paths: list[str] | str, row_tag: str, schema: T.StructType | str) -> DataFrame:
-    """``source_file, line_no, raw_line`` of XML files. Numbers rise along each split of a file."""
-    rows = read_xml(spark, paths, row_tag, schema)
-    value = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    lines = rows.select(
-        F.regexp_replace(F.col("_metadata.file_path"), r"^file:(?://)?", "").alias("source_file"),
-        F.explode(_element_lines(row_tag, value, rows.schema)).alias("raw_line"),
-    )
+    """``source_file, line_no, raw_line`` of XML files: the lines of sound records, and as they stand the lines of broken
+    ones and of all text outside records. Numbers rise along each split of a file."""
+    fields = _schema(schema)
+    plain = F.array().cast("array<string>")
+
+    def lines_of(text: Column) -> Column:
+        return F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda line: line != "")
+
+    pieces = _pieces(spark, paths, row_tag, fields)
+    own = F.when(_sound(), _element_lines(row_tag, F.col("row"), fields)).otherwise(F.coalesce(lines_of(F.col("record")), plain))
+    lines = pieces.select("source_file", F.explode(F.concat(F.coalesce(lines_of(F.col("outside")), plain), own)).alias("raw_line"))
     return lines.select("source_file", (F.monotonically_increasing_id() + 1).alias("line_no"), "raw_line")

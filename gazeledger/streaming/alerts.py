@@ -131,7 +131,7 @@ def stream_alerts(events: DataFrame, params: AuditParams, delay: str = "1 hour")
 
 
 def stream_single_exposure(events: DataFrame, params: AuditParams, delay: str = "2 days") -> DataFrame:
-    """Single-query exposure alerts of a stream, one per user, day, line number and level."""
+    """Single-query exposure alerts of a stream, one per user, day, line (of a file) and level."""
     exposed = F.col("effective_exposure")
     return (
         events.where(exposed >= min(params.pii_single_query_high, params.pii_single_query_critical))
@@ -141,6 +141,6 @@ def stream_single_exposure(events: DataFrame, params: AuditParams, delay: str =
             "_at": F.col("ts").cast("timestamp"),
         })
         .withWatermark("_at", delay)
-        .dropDuplicatesWithinWatermark(["user_id", "d", "line_no", "severity"])
+        .dropDuplicatesWithinWatermark(["user_id", "d", "source_file", "line_no", "severity"])
         .select("user_id", "d", "line_no", "severity", "source_file", "effective_exposure")
     )
