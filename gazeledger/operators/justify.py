@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gazeledger.functions import constants as C
 from gazeledger.operators.filters import level_rank
+from gazeledger.operators.ordered import ranked
 from gazeledger.operators.risk import pii_types_text
 from gazeledger.params import AuditParams
 
@@ -256,29 +257,9 @@ def one_line(params: AuditParams, first_reason: Column) -> Column:
 
 
 def priority_ranking(candidates: DataFrame) -> DataFrame:
-    """Adds ``priority_rank`` over all candidates: score, then risk order, then user.
-
-    A global rank by one window would run in a single task. Candidates are range-partitioned instead: the
-    number of candidates with a larger score comes from counts per score, of which there are few, and
-    only users of equal score are ranked against each other.
-    """
-    per_score = candidates.groupBy("priority_score").agg(F.count(F.lit(1)).alias("_n"))
-    # the score is a sum of fixed steps, so its distinct values are bounded
-    above = Window.orderBy(F.col("priority_score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_score.select(
-        "priority_score", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    # users of one score, split once more by risk score
-    per_risk = candidates.groupBy("priority_score", "risk_score").agg(F.count(F.lit(1)).alias("_m"))
-    same = Window.partitionBy("priority_score").orderBy(F.col("risk_score").desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    steps = per_risk.select("priority_score", "risk_score", F.coalesce(F.sum("_m").over(same), F.lit(0)).alias("_ahead"))
-    within = F.row_number().over(Window.partitionBy("priority_score", "risk_score").orderBy("user_id"))
-    return (
-        candidates.join(F.broadcast(offsets), "priority_score")
-        .join(steps, ["priority_score", "risk_score"])
-        .withColumn("priority_rank", (F.col("_above") + F.col("_ahead") + within).cast("bigint"))
-        .drop("_above", "_ahead")
-    )
+    """Adds ``priority_rank`` over all candidates: score, then risk, then user."""
+    order = [F.col("priority_score").desc(), F.col("risk_score").desc(), F.col("user_id").asc()]
+    return ranked(candidates, order, "priority_rank")
 
 
 def justification_scores(summary: DataFrame, params: AuditParams) -> DataFrame:

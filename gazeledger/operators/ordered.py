@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazeledger.session import materialise
+
 
 def running(
     df: DataFrame,
@@ -91,3 +93,18 @@ def nth_rows(
         .where((F.col("_rank") <= bound) & (F.col("_rank") == F.col("_sought")))
         .drop("_rank", "_sought", *[f"_is_{k}" for k in rules])
     )
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: the place of every row, from 1, in ``order``, which must tell all rows apart.
+
+    Rows are dealt into ranges of the order and written; a range's rows are numbered among themselves, after the rows of
+    the ranges before. Equal values of the leading columns fill as many ranges as they need.
+    """
+    dealt = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))  # one row per partition
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = dealt.join(F.broadcast(starts), "_range")
+    return placed.withColumn(name, (F.col("_start") + inside).cast("bigint")).drop("_range", "_start")

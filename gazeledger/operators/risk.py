@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gazeledger.functions import constants as C
 from gazeledger.operators.exposure import exposure_rollup_aggs
 from gazeledger.operators.filters import select_findings, select_measures
+from gazeledger.operators.ordered import ranked
 from gazeledger.params import AuditParams
 
 ACCESS_MEASURES = [
@@ -170,6 +171,11 @@ def rank_users(summary: DataFrame) -> DataFrame:
     return summary.orderBy(F.col("risk_score").desc(), "user_id")
 
 
+def user_ranks(summary: DataFrame) -> DataFrame:
+    """Adds ``position``: the place of every user by falling score, then name."""
+    return ranked(summary, [F.col("risk_score").desc(), F.col("user_id").asc()], "position")
+
+
 def top_k_users(summary: DataFrame, k: int = 10) -> DataFrame:
     return rank_users(summary).limit(k)
 

@@ -168,16 +168,8 @@ def risk_level(spark, sf):
 @query("rank_users", f"""{SUMMARY} select user_id, risk_level,
  row_number() over (order by risk_score desc, user_id) as position from summary""")
 def rank_users(spark, sf):
-    """Rank by counting the users of larger scores; equal scores are ranked among themselves."""
-    from pyspark.sql import Window
-
     users = audited(spark, sf)[1].select("user_id", "risk_level", "risk_score")
-    per_score = users.groupBy("risk_score").agg(F.count(F.lit(1)).alias("n"))  # at most 10 001 scores
-    above = Window.orderBy(F.col("risk_score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_score.select("risk_score", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
-    turn = F.row_number().over(Window.partitionBy("risk_score").orderBy("user_id"))
-    return users.join(offsets, "risk_score").select(
-        "user_id", "risk_level", (F.col("above") + turn).cast("bigint").alias("position"))
+    return risk.user_ranks(users).select("user_id", "risk_level", "position")
 
 
 @query("top_k_users", f"""{SUMMARY} select user_id, cast(floor(risk_score * 100 + 0.5) as bigint) as risk_score_x100, risk_level

@@ -122,3 +122,18 @@ def test_nothing_shown_text(spark):
                            "unknown_exposure_query_count")}
     text = spark.range(1).select(*[F.lit(v).alias(c) for c, v in zero.items()]).select(screen_estimate().alias("t")).first()["t"]
     assert text.startswith("▶ 화면 직접 노출 추정 불가") and text.count("\n") == 3
+
+
+def test_equal_scores_are_ranked_over_many_partitions(spark):
+    from gazeledger.operators import risk
+
+    users = spark.range(20_000).select(F.format_string("u%05d", F.col("id") * 7919 % 20_000).alias("user_id"), F.lit(0.0).alias("risk_score"))
+    users = users.union(spark.createDataFrame([("zz", 5.0), ("yy", 5.0)], users.schema))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = risk.user_ranks(users).withColumn("part", F.spark_partition_id()).orderBy("position").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert [r["position"] for r in rows] == list(range(1, 20_003))
+    assert [r["user_id"] for r in rows] == ["yy", "zz", *(f"u{i:05d}" for i in range(20_000))]
