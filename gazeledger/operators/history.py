@@ -114,8 +114,9 @@ def trend_word(delta: Column) -> Column:
 
 
 def signed(delta: Column, decimals: int = 0) -> Column:
-    """Number with its sign."""
-    return F.format_string(f"%+.{decimals}f", delta.cast("double")) if decimals else F.format_string("%+d", delta.cast("bigint"))
+    """Number with its sign; NULL stays NULL."""
+    text = F.format_string(f"%+.{decimals}f", delta.cast("double")) if decimals else F.format_string("%+d", delta.cast("bigint"))
+    return F.when(delta.isNotNull(), text)
 
 
 def trend_label(delta: Column, decimals: int = 0) -> Column:

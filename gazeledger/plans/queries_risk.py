@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazeledger.functions.pii_values import mask_value
 from gazeledger.operators import access, exposure, filters, history, justify, reports, risk
 from gazeledger.params import AuditParams
 from gazeledger.plans.queries_access import BASE, ROLLING_SQL, _us, alert_sql, log, stats_ctes
@@ -99,11 +100,14 @@ def access_pii_findings(events: DataFrame) -> DataFrame:
     from gazeledger.operators.pii import escalated_severity
 
     rows = events.where("has_pii")
+    number = F.concat(F.lit("010-1234-"), F.lpad((F.col("line_no") % 10000).cast("string"), 4, "0"))
     out = access._finding(
         rows, "PII_EXPOSURE", escalated_severity(F.lit("HIGH"), F.col("effective_exposure"), R), F.lit(""), {
             "effective_exposure": F.col("effective_exposure"),
             "result_row_count": F.col("result_row_count"),
             "exposure_type": F.col("exposure_type"),
+            "original_value": number,
+            "redacted_value": mask_value(number, "PHONE"),
         })
     return out.withColumn("pii_types", F.array(F.lit("PHONE")))
 
@@ -538,12 +542,13 @@ def rpt_users(spark, sf):
 
 @query("rpt_pii_detail", f"""{SUMMARY} select f.user_id, strftime(f.ts, '%Y-%m-%d %H:%M:%S') as timestamp_str, 'PHONE' as pii_types_str,
  case a.exposure_type when 'PARTIAL_EXPOSURE' then 'PII컬럼직접출력' when 'NONE' then '없음' else '?' end as exposure_label,
- coalesce(cast(a.result_row_count as varchar), '건수미확인') as result_rows, {LABEL_SQL.format('s.risk_level')} as risk_label, reference as raw_reference
+ coalesce(cast(a.result_row_count as varchar), '건수미확인') as result_rows, {LABEL_SQL.format('s.risk_level')} as risk_label, reference as raw_reference,
+ '010-****-' || lpad(cast(a.line_no % 10000 as varchar), 4, '0') as value, '' as evidence
  from findings f join summary s on s.user_id = f.user_id
  join access_log a on a.source_file || ':' || cast(a.line_no as varchar) = f.reference where category = 'PII_EXPOSURE'
  order by s.risk_score desc, f.user_id, f.ts""")
 def rpt_pii_detail(spark, sf):
-    return reports.rpt_pii_detail(*audited(spark, sf)).drop("value", "evidence")
+    return reports.rpt_pii_detail(*audited(spark, sf))
 
 
 @query("rpt_finding_detail", f"""{SUMMARY} select f.user_id, strftime(f.ts, '%Y-%m-%d %H:%M:%S') as timestamp_str,
@@ -571,19 +576,27 @@ def rpt_evidence(spark, sf):
     return reports.rpt_evidence(_items(spark, sf))
 
 
+# users that the earlier month knows as well
+MONTH_USERS = "length(user_id) % 2 = 0"
+
+
 @query("rpt_comparison", f"""{BOTH_WEEKS} select n.user_id, {LABEL_SQL.format('n.risk_level')} as risk_label,
  case when o.user_id is null then '-' when n.risk_score > o.risk_score then '↑ 증가' when n.risk_score < o.risk_score then '↓ 감소' else '→ 유지' end as week_trend,
  case when o.user_id is null then '-' else case when n.pii_event_count >= o.pii_event_count then '+' else '' end || cast(n.pii_event_count - o.pii_event_count as varchar) end as week_pii_change,
- '-' as month_trend, n.pii_event_count, n.max_queries_per_day, n.after_hours_count,
+ case when m.user_id is null then '-' when n.risk_score > m.risk_score then '↑ 증가' when n.risk_score < m.risk_score then '↓ 감소' else '→ 유지' end as month_trend,
+ case when m.user_id is null then '-' else case when n.pii_event_count >= m.pii_event_count then '+' else '' end || cast(n.pii_event_count - m.pii_event_count as varchar) end as month_pii_change,
+ case when m.user_id is null then '-' else case when n.max_queries_per_day >= m.max_queries_per_day then '+' else '' end || cast(n.max_queries_per_day - m.max_queries_per_day as varchar) end as month_day_max_change,
+ n.pii_event_count, n.max_queries_per_day, n.after_hours_count,
  case when n.risk_level in ('HIGH','CRITICAL') and o.risk_level in ('LOW','MEDIUM') then o.risk_level || ' → ' || n.risk_level else '-' end as new_risk
- from now_s n left join old_s o on o.user_id = n.user_id""")
+ from now_s n left join old_s o on o.user_id = n.user_id
+ left join (select * from old_s where {MONTH_USERS}) m on m.user_id = n.user_id""")
 def rpt_comparison(spark, sf):
     now, old = _weeks(spark, sf)
     week = history.user_deltas(now, old)
-    table = reports.rpt_comparison(now, week, week.where(F.lit(False)))
+    table = reports.rpt_comparison(now, week, week.where(MONTH_USERS))
     return table.select(
-        "user_id", "risk_label", "week_trend", "week_pii_change", "month_trend", "pii_event_count",
-        "max_queries_per_day", "after_hours_count", "new_risk")
+        "user_id", "risk_label", "week_trend", "week_pii_change", "month_trend", "month_pii_change", "month_day_max_change",
+        "pii_event_count", "max_queries_per_day", "after_hours_count", "new_risk")
 
 
 @query("rpt_display", f"""{BASE}, {findings_ctes(R)} select user_id, reference as raw_reference,
