@@ -31,7 +31,7 @@ def keep_ids(df: DataFrame, ids: DataFrame, column: str, rows: int = BROADCAST_R
     The ids are broadcast only while they are few; beyond that it is a shuffled semi-join with the same result.
     """
     ids = F.broadcast(ids) if ids.count() <= rows else ids
-    return df.join(ids, column, "left_semi")
+    return df.join(ids, column, "left_semi").select(*df.columns)
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -103,7 +103,7 @@ def contained_items(
 def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that contain no item."""
     bad = materialise(found.select(F.col("doc_id").alias(id_col)).distinct(), "leaks")
-    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, id_col, "left_anti")
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, id_col, "left_anti").select(*docs.columns)
 
 
 def oracle(width: int = WIDTH, percent: int = 80) -> str:
