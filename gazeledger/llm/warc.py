@@ -125,7 +125,10 @@ def write(
 ) -> DataFrame:
     """Write one archive per partition into ``folder``; returns the written list of archives (``ARCHIVE``)."""
     own = with_decisions(pages, min_revisit_bytes, id_col, url_col, html_col)
-    sample = own.select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"), "sha").orderBy("sha", "page_id").limit(SAMPLE_RECORDS).collect()
+    least = [r["sha"] for r in own.select("sha").distinct().orderBy("sha").limit(SAMPLE_RECORDS).collect()]
+    sample = own.where(F.col("sha").isin(least)).groupBy("sha").agg(
+        F.min_by(F.struct("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")), F.struct("page_id", "url")).alias("r")
+    ).orderBy("sha").select("r.*").collect()
     dictionary = train([record(r["page_id"], r["url"], r["html"].encode(), None, False) for r in sample])
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

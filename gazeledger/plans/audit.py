@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gazeledger.operators import access, exposure, filters, history, justify, parse, pii, reports, risk
 from gazeledger.params import AuditParams
-from gazeledger.session import materialise
+from gazeledger.session import clear_folders, materialise
 from gazeledger.sources import store
 from gazeledger.sources.text import read_log_lines
 
@@ -29,6 +29,10 @@ class AuditResult:
     metrics: dict[str, int] = field(default_factory=dict)
     run_id: str | None = None
 
+    def close(self) -> None:
+        """Delete the tables written on the way, which hold values in clear text; the result can not be read afterwards."""
+        clear_folders(self.events.sparkSession)
+
 
 def scan_events(events: DataFrame, start: date | str, end: date | str) -> DataFrame:
     """Period filter first, then the costly text work."""

@@ -52,8 +52,10 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         "source_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     # every split is a part of one file and of one scan partition
     bound = len(scan.inputFiles()) + scan.rdd.getNumPartitions()
-    return scan.join(small(splits, bound), ["source_file", "_block"]).select(
-        "source_file", (F.col("_id") + F.col("_shift")).alias("line_no"), "value")
+    # a split that the counts do not know would mean that the files changed in between
+    missing = F.raise_error(F.concat(F.lit("no line count for a part of "), F.col("source_file"))).cast("bigint")
+    return scan.join(small(splits, bound), ["source_file", "_block"], "left").select(
+        "source_file", F.coalesce(F.col("_id") + F.col("_shift"), missing).alias("line_no"), "value")
 
 
 def _decoded(value: Column, charset: str) -> Column:

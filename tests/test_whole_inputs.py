@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,10 @@ def test_stamp_without_a_year_takes_that_of_the_period(spark, tmp_path):
     result = run_audit(spark, [str(path)], "2026-11-01", "2026-11-30", log_format="app", today=date(2026, 12, 1))
     assert result.events.count() == 3
     assert {str(r["ts"]) for r in result.events.collect()} == {"2026-11-05 10:00:00"}
+    folders = [f.removeprefix("file:") for f in result.events.inputFiles()]
+    assert folders and all(Path(f.removeprefix("//")).exists() for f in folders)
+    result.close()
+    assert not any(Path(f.removeprefix("//")).exists() for f in folders)
 
 
 @pytest.mark.parametrize("text", ["x일 \u0001 phone=010-1234-5678", "\u0002phone=010-1234-5678 \u0003일이삼", "일이삼 \u0001\u0002 phone 010-1234-5678"])
