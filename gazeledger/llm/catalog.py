@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazeledger.llm import decontaminate, embeddings, language, main_text, near_text, packing, quality, repeats, secrets, warc
+from gazeledger.llm import decontaminate, embeddings, language, main_text, near_text, oracles, packing, quality, repeats, secrets, warc
 from gazeledger.llm.common import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -68,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_text": op9_near_text,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.oracle()}
+ORACLES: dict[str, str] = oracles.ORACLES
