@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gazeledger.llm import decontaminate, near_text, packing, quality, secrets
 from gazeledger.llm.catalog import TOKENIZER
-from gazeledger.llm.common import keep_ids, materialise, table
+from gazeledger.llm.common import keep_ids, materialise, small_batches, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows that repeat a document's id are one document too: of them the row that comes first by its columns' hash stays.
     Rows with a NULL id all stay.
     """
+    small_batches(spark)
     found = near_text.near_duplicates(docs, size=5, percent=80)
     decided = materialise(found.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")), "decisions")
     once = keep_ids(docs, materialise(decided.where("kept and n = 1 and doc_id is not null").select("doc_id"), "kept"), "doc_id")
@@ -51,6 +52,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left."""
+    small_batches(spark)
     return packing.pack(docs, TOKENIZER, with_ids=False)
 
 

@@ -16,7 +16,20 @@ BLOCK_BYTES = 2 << 20
 BROADCAST_ROWS = 500_000
 
 
+# Arrow batches by bytes: by rows alone, ten thousand long texts would have to fit a worker at once.
+BATCH_SETTINGS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, value in BATCH_SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -101,6 +114,7 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.List
 
 
 __all__ = [
-    "BLOCK_BYTES", "BROADCAST_ROWS", "crc_mod", "keep_ids", "lists", "materialise", "mix", "span_hashes", "table",
+    "BLOCK_BYTES", "BROADCAST_ROWS", "crc_mod", "keep_ids", "lists", "materialise", "mix", "small_batches",
+    "span_hashes", "table",
     "text_blocks", "text_column",
 ]

@@ -26,7 +26,7 @@ from gazeledger.llm.common import lists, materialise, text_column
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, slot bigint"
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -127,7 +127,7 @@ def pieces(
             while lo < len(column):
                 hi = lo + 1
                 size = len(column[lo].as_buffer())
-                while hi < len(column) and size < 8 << 20:
+                while hi < len(column) and size < 4 << 20:
                     size += len(column[hi].as_buffer())
                     hi += 1
                 tokens, offsets = enc.texts(column.slice(lo, hi - lo))

@@ -89,16 +89,25 @@ class Model:
         return np.clip(np.where(total > 1e-12, (votes * self.labels[top]).sum(1) / np.maximum(total, 1e-12), prior), 0.0, 1.0)
 
 
-def latent_model(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
-    """Singular directions from the rows' Gram matrix, which is at most SAMPLE x SAMPLE."""
+def latent_model(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, rounds: int = 12) -> Model:
+    """Leading singular directions by subspace iteration from a fixed start; beside the counts it holds one matrix of their
+    size in single precision."""
     weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
-    rows = _unit(np.log1p(counts.astype(np.float64)) * weights)
-    values, left = np.linalg.eigh(rows @ rows.T)
-    keep = np.argsort(-values)[:dimensions]
-    keep = keep[values[keep] > 1e-9]
-    directions = rows.T @ (left[:, keep] / np.sqrt(values[keep]))
-    model = Model(weights, directions, np.zeros((0, len(keep))), labels.astype(np.float64))
-    model.vectors = model.embed(counts)
+    rows = np.log1p(counts)
+    rows *= weights.astype(np.float32)
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    rows /= np.where(length > 1e-9, length, 1).astype(np.float32)
+    width = min(dimensions + 16, *rows.shape)
+    basis = np.random.default_rng(1).normal(size=(rows.shape[1], width)).astype(np.float32)
+    for _ in range(rounds):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0] if width else basis
+    _, values, turn = np.linalg.svd((rows @ basis).astype(np.float64), full_matrices=False)
+    keep = values[:dimensions] > 1e-4
+    directions = basis.astype(np.float64) @ turn[:dimensions][keep].T
+    del rows
+    model = Model(weights, directions, np.zeros((0, directions.shape[1])), labels.astype(np.float64))
+    parts = [model.embed(counts[i : i + 256]) for i in range(0, len(counts), 256)]
+    model.vectors = np.concatenate(parts) if parts else model.vectors
     return model
 
 
@@ -125,8 +134,10 @@ def fit(
     rows = own.join(F.broadcast(chosen), "id").select(F.col("id").cast("bigint"), "label", "text").mapInArrow(
         count, "id bigint, label double, counts binary").collect()
     rows.sort(key=lambda r: (r["id"], r["counts"]))
-    counts = np.array([np.frombuffer(r["counts"], np.float32) for r in rows], np.float32).reshape(len(rows), TERMS)
-    return latent_model(counts, np.array([r["label"] for r in rows]))
+    counts, marks = np.zeros((len(rows), TERMS), np.float32), np.array([r["label"] for r in rows])
+    for i in range(len(rows) - 1, -1, -1):
+        counts[i] = np.frombuffer(rows.pop()["counts"], np.float32)
+    return latent_model(counts, marks)
 
 
 def score(
