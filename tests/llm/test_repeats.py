@@ -86,6 +86,30 @@ def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
         assert clean[i]["text"] == (t if t is None else t[:a] + t[b:]) and clean[i]["digest"] == "k"
 
 
+def test_partial_quotes_leave_one_copy_of_everything(spark):
+    rng = random.Random(6)
+    article, before, after = words(rng, 160), words(rng, 60), words(rng, 60)
+    first, second = article[: len(article) // 2], article[len(article) // 2 :]
+    text = {3: f"{before} {first}", 5: article, 9: f"{after} {article}", 12: second, 15: "x"}
+    df = spark.createDataFrame(list(text.items()), "doc_id bigint, text string").repartition(2)
+    got = sorted(tuple(r) for r in repeats.repeated_passages(df).collect())
+    for (doc, a, b, source, kept), following in zip(got, [*got[1:], (None, 0)], strict=True):
+        assert kept == (source == doc) and a < b and (following[0] != doc or b <= following[1])
+        assert text[doc][a:b] in text[source]
+        # the source keeps it
+        assert any(d == source and k and text[doc][a:b] in text[d][s:e] for d, s, e, _, k in got)
+    assert {(doc, source) for doc, _, _, source, _ in got} == {(3, 3), (5, 3), (5, 5), (9, 3), (9, 5), (12, 5)}
+    clean = {r["doc_id"]: r["text"] for r in repeats.without_repeats(df, repeats.repeated_passages(df)).collect()}
+    assert clean[3] == text[3] and clean[15] == "x"
+    # all of the article is left, split over documents 3 and 5, and no long part of it is left twice
+    assert article[-400:] in clean[5] and len(clean[5]) < len(second) + 130
+    assert len(clean[9]) < len(after) + 130 and len(clean[12]) < 130
+    again = spark.createDataFrame(list(clean.items()), "doc_id bigint, text string")
+    assert repeats.repeated_passages(again).count() == 0
+    for k in range(0, len(article) - 40):
+        assert any(article[k : k + 20] in t for t in clean.values())
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     found = repeats.repeated_passages(empty)
