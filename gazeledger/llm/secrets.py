@@ -6,7 +6,8 @@ Four kinds of spans, in code points with exclusive ends:
   short are dropped.
 * ``entropy``: candidate strings (runs of key characters) in which a window that slides over the characters reaches the
   Shannon entropy asked for its character class. The window keeps a count per character; a step changes two counts and
-  the sum of n * log2(n), so each window costs the same. Windows that reach the bound and overlap form one span.
+  the sum of n * log2(n), so each window costs the same. Windows that reach the bound and overlap form one span. A
+  candidate shorter than its class's window is one window, with the bound in proportion to the greatest entropy it can have.
   Candidates that the allow-list names (plain words, digits only, paths, placeholders) are left out, and so are spans
   that a fixed pattern already covers.
 
@@ -109,6 +110,16 @@ def high_windows(value: Column, window: int, least: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), zero, step, lambda s: s["spans"])
 
 
+def high_whole(value: Column, window: int, least: float) -> Column:
+    """The same for a value shorter than ``window``: all of it, or nothing."""
+    n = F.char_length(value)
+    letters = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(value, i, 1)))
+    total = F.aggregate(letters, F.lit(0.0), lambda t, c: t + _weight(n - F.char_length(F.replace(value, c, F.lit("")))))
+    high = F.log2(n) - total / n >= least / math.log2(window) * F.log2(n)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return F.when(high, F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))).otherwise(none)
+
+
 def entropy_spans(text: Column, classes: dict[str, tuple[str, int, float]] | None = None, allowed: list[str] | None = None) -> Column:
     allowed = ALLOWED if allowed is None else allowed
 
@@ -121,7 +132,8 @@ def entropy_spans(text: Column, classes: dict[str, tuple[str, int, float]] | Non
     def windows(value: Column) -> Column:
         found = F.array().cast("array<struct<start:int,end:int>>")
         for pattern, window, least in reversed(list((classes or CLASSES).values())):
-            found = F.when(value.rlike(pattern), high_windows(value, window, least)).otherwise(found)
+            own = F.when(F.char_length(value) < window, high_whole(value, window, least)).otherwise(high_windows(value, window, least))
+            found = F.when(value.rlike(pattern), own).otherwise(found)
         return found
 
     candidates = F.filter(all_spans(text, CANDIDATE, 0, ""), lambda s: suspicious(s["value"]))
