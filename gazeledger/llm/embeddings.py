@@ -2,7 +2,9 @@
 
 1. Equal vectors become one, with a weight, so copies of any number cost one query.
 2. Distinct vectors are dealt into shards by a hash (at least ``SHARDS``, of about ``SHARD_ROWS`` at most); each shard's
-   graph is built by one task and written to the shared folder.
+   graph is built by one task and written to the shared folder. The task also asks ``AUDIT_QUERIES`` made-up vectors, each
+   a member turned by a random angle within the bound; none is in the graph and each has a true link. The shard's first
+   beam doubles until ``RECALL`` of them find all links that exact products find, whatever the number of shards.
 3. Blocks of queries meet each shard's graph in one group. A query whose beam holds links to its end is asked again with
    a wider one. In every block and shard an audit compares every ``AUDIT``-th query with exact products over the shard; if
    it misses a link, the beam doubles for the whole block, up to exact products over the shard.
@@ -30,20 +32,22 @@ SHARDS, SHARD_ROWS = 8, 50_000
 QUERY_ROWS = 4096
 BEAM = 24
 AUDIT = 64
+AUDIT_QUERIES, RECALL = 1024, 0.998
 SLACK = 1e-4  # of single precision
-INDEX = "shard bigint, ids binary, hashes binary, weights binary, vectors binary, layers array<binary>"
+INDEX = "shard bigint, ids binary, hashes binary, weights binary, vectors binary, layers array<binary>, beam bigint"
 FOUND = "a bigint, h bigint, links bigint, b bigint"
 
 
-def build_shard(key: tuple, rows: pa.Table) -> pa.Table:
-    """The shard's members in the graph's order, vectors as doubles of unit length, and the graph's layers."""
+def build_shard(key: tuple, rows: pa.Table, least: float) -> pa.Table:
+    """The shard's members in the graph's order, vectors as doubles of unit length, the graph's layers and its first beam."""
     order = Graph.order(rows.num_rows)
     ids, hashes, weights = (rows.column(c).to_numpy()[order] for c in ("rep", "h", "weight"))
     exact = unit(rows.column("v"))[order]
     graph = Graph.build(exact.astype(np.float32))
     return pa.table({
         "shard": [key[0].as_py()], "ids": [ids.tobytes()], "hashes": [hashes.tobytes()], "weights": [weights.tobytes()], "vectors": [exact.tobytes()],
-        "layers": pa.array([[x.tobytes() for x in graph.layers]], pa.list_(pa.binary()))})
+        "layers": pa.array([[x.tobytes() for x in graph.layers]], pa.list_(pa.binary())),
+        "beam": [audited_beam(graph, exact, least)[0]]})
 
 
 def unit(column: pa.ChunkedArray) -> np.ndarray:
@@ -53,34 +57,68 @@ def unit(column: pa.ChunkedArray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def made_up(exact: np.ndarray, least: float, count: int) -> np.ndarray:
+    """Unit vectors whose cosine with some member lies between ``least`` and 1."""
+    rng = np.random.default_rng(2)
+    near = exact[rng.integers(len(exact), size=count)]
+    cosine = np.minimum(rng.uniform(least, 1, (count, 1)) + 2 * SLACK, 1)
+    side = rng.normal(size=near.shape)
+    side -= (side * near).sum(1, keepdims=True) * near
+    length = np.linalg.norm(side, axis=1, keepdims=True)
+    turned = cosine * near + np.sqrt(1 - cosine**2) * side / np.where(length > 1e-9, length, 1)
+    return turned / np.linalg.norm(turned, axis=1, keepdims=True)
+
+
+def audited_beam(graph: Graph, exact: np.ndarray, least: float, beam: int = BEAM) -> tuple[int, float]:
+    """The first beam, and the share of made-up queries that find all their links with it."""
+    asked = made_up(exact, least, AUDIT_QUERIES).astype(np.float32)
+    while 4 * beam < len(exact):
+        missed = 0
+        for lo in range(0, len(asked), 64):
+            some = asked[lo : lo + 64]
+            lost = some @ graph.vectors.T >= least + SLACK
+            q, m = asked_links(graph, some, least, beam)
+            lost[q, m] = False
+            missed += int(lost.any(1).sum())
+        if missed <= (1 - RECALL) * len(asked):
+            return beam, 1 - missed / len(asked)
+        beam *= 2
+    return beam, 1.0
+
+
+def asked_links(graph: Graph, asked: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Query and member numbers of the pairs found from this beam on, in single precision and with ``SLACK``."""
+    size = len(graph.vectors)
+    pairs_q, pairs_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    waiting, own = np.arange(len(asked)), beam
+    while len(waiting):
+        if 4 * own >= size:  # such a beam opens most of the graph; exact products cost less
+            for lo in range(0, len(waiting), 256):
+                some = waiting[lo : lo + 256]
+                q, m = np.nonzero(asked[some] @ graph.vectors.T >= least - SLACK)
+                pairs_q.append(some[q])
+                pairs_m.append(m)
+            break
+        ids, near = graph.search(asked[waiting], own)
+        full = near[:, -1] >= least - SLACK
+        q, c = np.nonzero((near >= least - SLACK) & ~full[:, None])
+        pairs_q.append(waiting[q])
+        pairs_m.append(ids[q, c])
+        waiting, own = waiting[full], 2 * own
+    return np.concatenate(pairs_q), np.concatenate(pairs_m)
+
+
 def found_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Query and member numbers of all pairs found with a cosine of at least ``least``; beams widen until audits pass."""
     asked = queries.astype(np.float32)
-    size = len(exact)
     audit = np.arange(0, len(queries), AUDIT)
     truth = (asked[audit] @ graph.vectors.T) >= least + SLACK
     while True:
-        pairs_q, pairs_m = [], []
-        waiting, own = np.arange(len(queries)), beam
-        while len(waiting):
-            if 4 * own >= size:  # such a beam opens most of the graph; exact products cost less
-                for lo in range(0, len(waiting), 256):
-                    some = waiting[lo : lo + 256]
-                    q, m = np.nonzero(asked[some] @ graph.vectors.T >= least - SLACK)
-                    pairs_q.append(some[q])
-                    pairs_m.append(m)
-                break
-            ids, near = graph.search(asked[waiting], own)
-            full = near[:, -1] >= least - SLACK
-            q, c = np.nonzero((near >= least - SLACK) & ~full[:, None])
-            pairs_q.append(waiting[q])
-            pairs_m.append(ids[q, c])
-            waiting, own = waiting[full], 2 * own
-        q, m = np.concatenate(pairs_q), np.concatenate(pairs_m)
+        q, m = asked_links(graph, asked, least, beam)
         seen = np.zeros(truth.shape, bool)
         mine = q % AUDIT == 0
         seen[q[mine] // AUDIT, m[mine]] = True
-        if not (truth & ~seen).any() or 4 * beam >= size:
+        if not (truth & ~seen).any() or 4 * beam >= len(exact):
             break
         beam *= 2
     good = np.concatenate([np.zeros(0, bool), *(
@@ -97,7 +135,7 @@ def ask_shard(key: tuple, index: pa.Table, queries: pa.Table, least: float) -> p
     exact = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
     layers = [np.frombuffer(x, np.int32).reshape(-1, LINKS if n == 0 else TOP_LINKS) for n, x in enumerate(row["layers"])]
     own_ids, own_hashes = queries.column("rep").to_numpy(), queries.column("h").to_numpy()
-    q, m = found_links(Graph(exact.astype(np.float32), layers), exact, unit(queries.column("v")), least)
+    q, m = found_links(Graph(exact.astype(np.float32), layers), exact, unit(queries.column("v")), least, row["beam"])
     other = (own_ids[q] != ids[m]) | (own_hashes[q] != hashes[m])
     q, m = q[other], m[other]
     if not len(q):
@@ -127,7 +165,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     shards, blocks = max(SHARDS, -(-count // SHARD_ROWS)), max(1, -(-count // QUERY_ROWS))
     length = F.size("v").cast("bigint") * shards  # vectors of one length share shards
     dealt = classes.withColumn("shard", length + F.pmod(F.xxhash64("h", F.lit(1)), F.lit(shards)))
-    index = materialise(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(build_shard, INDEX), "graphs")
+
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        return build_shard(key, rows, least)
+
+    index = materialise(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(build, INDEX), "graphs")
     every = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = classes.withColumn("block", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(blocks)).cast("int")).withColumn(
         "shard", F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.size("v").cast("bigint") * shards + s)))

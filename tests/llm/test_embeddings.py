@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from gazeledger.llm import catalog, embeddings
 from gazeledger.llm.hnsw import Graph
@@ -73,6 +74,30 @@ def test_graph_recall():
     assert len(q) >= 0.99 * len(want)
 
 
+def test_audit_has_links_where_queries_have_few():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = Graph.build(x.astype(np.float32))
+    graph.layers[0] = np.ascontiguousarray(graph.layers[0][:, :4])  # a graph that loses links
+    queries = embeddings.made_up(x, 0.9, 600)
+    queries[:: embeddings.AUDIT] = -queries[:: embeddings.AUDIT]  # the positions that blocks audit have no link
+    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(queries @ x.T >= 0.9), strict=True)}
+
+    def share(beam):
+        found = {(int(a), int(b)) for a, b in zip(*embeddings.found_links(graph, x, queries, 0.9, beam), strict=True)}
+        assert found <= true
+        return len(found) / len(true)
+
+    assert len(true) > 500 and share(embeddings.BEAM) < 0.95
+    beam, recall = embeddings.audited_beam(graph, x, 0.9)
+    assert beam > embeddings.BEAM and recall >= embeddings.RECALL and share(beam) > 0.98
+
+    table = pa.table({"rep": np.arange(6000), "h": np.arange(6000), "weight": np.ones(6000, np.int64), "v": list(x)})
+    built = embeddings.build_shard((pa.scalar(0),), table, 0.9).to_pylist()[0]
+    assert built["beam"] == embeddings.audited_beam(Graph.build(x[Graph.order(6000)].astype(np.float32)), x[Graph.order(6000)], 0.9)[0]
+
+
 def test_given_vectors(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     links, component = brute_force(rows)
