@@ -2,7 +2,7 @@
 
 Terms of a text are four-grams of character classes and two levels of repetition (words that repeat the word before,
 words seen before), counted over the whole text, so noise looks alike in every language. Fitting takes at most
-``SAMPLE`` labelled rows, chosen by a hash of the id, weighs their terms (log count times inverse document frequency)
+``SAMPLE`` labelled rows, chosen by a hash of the id and of each id one text (the first by hash), weighs their terms (log count times inverse document frequency)
 and keeps the ``DIMENSIONS`` strongest singular directions. The labelled vectors (at most SAMPLE x DIMENSIONS doubles)
 go to every task; each block of documents is compared with all of them by exact cosine products, and the
 ``NEIGHBOURS`` nearest vote with the power ``SHARPNESS`` of their similarity.
@@ -131,7 +131,9 @@ def fit(
                     ["id", "label", "counts"])
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = own.join(F.broadcast(chosen), "id").select(F.col("id").cast("bigint"), "label", "text").mapInArrow(
+    one = own.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    rows = one.select(F.col("id").cast("bigint"), "label", F.col("one.text").alias("text")).mapInArrow(
         count, "id bigint, label double, counts binary").collect()
     rows.sort(key=lambda r: (r["id"], r["counts"]))
     counts, marks = np.zeros((len(rows), TERMS), np.float32), np.array([r["label"] for r in rows])

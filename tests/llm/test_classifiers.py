@@ -92,3 +92,15 @@ def test_quality_edge_cases(spark):
     none = quality.fit(docs, labels.limit(0), F.lit(True))
     assert {(r["score"], r["predicted"]) for r in quality.score(docs, none).collect()} == {(0.5, 1)}
     assert quality.score(docs.limit(0), model).count() == 0 and quality.keep_good(docs.limit(0), model).count() == 0
+
+
+def test_quality_takes_one_text_of_a_repeated_id(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(_sample())]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(_sample())], "doc_id bigint, quality int")
+    once = spark.createDataFrame(rows, "doc_id bigint, text string")
+    often = spark.createDataFrame(rows + [rows[0]] * 300 + [(1, rows[1][1] + " more"), (1, None)], "doc_id bigint, text string").repartition(3)
+    got, want = quality.fit(often, labels, F.lit(True)), quality.fit(once, labels, F.lit(True))
+    assert got.vectors.shape[0] == got.labels.shape[0] == len(rows) and (got.labels == want.labels).all()
+    repeated = quality.fit(once.union(once.where("doc_id = 0")), labels, F.lit(True))
+    assert np.array_equal(repeated.vectors, want.vectors)
+    assert quality.fit(often, labels, F.lit(True), sample=2).vectors.shape[0] == 2
