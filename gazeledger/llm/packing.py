@@ -6,7 +6,8 @@ sequence of its own, so no sequence crosses documents and none needs padding; pi
 and are numbered in a row, bucket after bucket.
 
 NULL and empty texts consist of the end id alone (one piece of length 1). Repeated rows and NULL ids are packed row by
-row. An empty table gives an empty result. Only the two named columns are read, so other columns may have any name.
+row; equal texts give equal pieces, in sequences of their own. Texts of any length are read whole, a longer one than a
+block as a block of its own. An empty table gives an empty result. Only the two named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -17,28 +18,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeledger.llm.common import lists, materialise, text_column
+from gazeledger.llm.word_ids import ChunkTable, chunk_blocks, starts_of
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
-CACHE_WORDS = 250_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, slot bigint"
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+BLOCK_BYTES = 8 << 20
+_LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
+_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+_BLANK, _LETTER, _OTHER, _WIDE = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _BLANK
+_KIND[(_LOWER >= 97) & (_LOWER <= 122)] = _LETTER
+_KIND[128:] = _WIDE
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Token ids of whole texts through the ``tokenizers`` library, with the ids of words kept between batches.
+    """Token ids of whole texts through the ``tokenizers`` library, with the ids of chunks kept between batches.
 
-    Text is cut at ASCII white space, which the vocabulary's pre-tokenizer drops anyway, so the ids of a text are the
-    ids of its words in a row. Words made of Latin letters and trailing punctuation are looked up by their parts; new
-    letter runs go to the library many at a time and are told apart by the word-end mark of their last token.
-    The cache starts anew beyond ``CACHE_WORDS`` entries.
+    The vocabulary drops white space, lower-cases, and never joins a letter with white space or punctuation, so the ids of
+    a text are those of its chunks in a row (see ``_chunks``). Only chunks that the table does not hold are segmented; runs
+    of letters go to the library many at a time and are told apart by the word-end mark of their last token.
     """
 
     def __init__(self, path: str):
@@ -49,52 +56,47 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.parts: dict[str, np.ndarray] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        for lo in range(0, len(parts), 256):
-            some = parts[lo : lo + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
-                split = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        self.table = ChunkTable(self.segment)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> list[list[int]]:
+        groups = [runs[lo : lo + 512] for lo in range(0, len(runs), 512)]
+        out: list[list[int]] = []
+        for group, ids in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist() if ids else []
+            if len(cuts) == len(group):
+                out += [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
             else:
-                split = np.split(ids, cuts[:-1])
-            self.parts.update(zip(some, split, strict=True))
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        cut = [(m[1].lower(), m[2]) if (m := _SIMPLE.fullmatch(w)) else (None, w) for w in words]
-        known = self.parts
-        self._learn([x for x in dict.fromkeys(letters for letters, _ in cut if letters) if x not in known])
-        rest = [x for x in dict.fromkeys(other for _, other in cut if other) if x not in known]
-        for lo in range(0, len(rest), 4096):
-            some = rest[lo : lo + 4096]
-            for text, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[text] = np.array(e.ids, np.uint32)
-        none = np.zeros(0, np.uint32)
-        out = []
-        for letters, other in cut:
-            a, b = known[letters] if letters else none, known[other] if other else none
-            out.append(a if not len(b) else b if not len(a) else np.concatenate([a, b]))
+                out += self._encoded(group)
         return out
 
-    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row and the offset of every text."""
-        split = pc.ascii_split_whitespace(column)
-        coded = split.flatten().dictionary_encode()
-        pieces = self.words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        counts = sizes[which]
-        before = np.zeros(len(which) + 1, np.int64)
-        np.cumsum(counts, out=before[1:])
-        ids = flat[np.repeat(begin[which] - before[:-1], counts) + np.arange(before[-1])] if len(which) else flat
-        offsets = split.offsets.to_numpy()
-        return ids, before[offsets - offsets[0]]
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        plain = [bool(_LETTERS.fullmatch(c)) for c in chunks]
+        runs = iter(self._runs([c for c, p in zip(chunks, plain, strict=True) if p]))
+        rest = [c for c, p in zip(chunks, plain, strict=True) if not p]
+        others = iter([ids for lo in range(0, len(rest), 4096) for ids in self._encoded(rest[lo : lo + 4096])])
+        return [next(runs) if p else next(others) for p in plain]
+
+    def blocks(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``(first row, last row + 1, ids, id offset of every row)`` over the rows of a column without NULLs."""
+        return chunk_blocks(column, self.table, _chunks, BLOCK_BYTES)
+
+
+def _chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes without white space and with A-Z in lower case, cut at white space and behind runs of Latin letters
+    that ASCII punctuation or a digit follows."""
+    kind = _KIND[data]
+    letter = kind == _LETTER
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    marks = np.zeros(len(data), bool)
+    marks[1:] = (kind[:-1] == _BLANK) | (letter[:-1] & (kind[1:] == _OTHER))
+    keep = kind != _BLANK
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(keep, out=before[1:])
+    offsets = before[offsets]
+    return _LOWER[data[keep]], starts_of(marks[keep], offsets), offsets
 
 
 def encoder(path: str) -> WordEncoder:
@@ -103,10 +105,13 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def piece_lengths(tokens: int, longest: int = SEQUENCE_TOKENS) -> list[int]:
-    """``longest`` (a power of two) as often as it fits, then the set bits of the rest, largest first."""
-    full, rest = divmod(tokens, longest)
-    return [longest] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def piece_lengths(tokens: np.ndarray, longest: int = SEQUENCE_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """Index into ``tokens`` and length of every piece: ``longest`` (a power of two) as often as it fits, then the set bits
+    of the rest, largest first."""
+    powers = longest >> np.arange(longest.bit_length())
+    times = (tokens[:, None] // powers) & 1
+    times[:, 0] = tokens // longest
+    return np.repeat(np.arange(len(tokens)), times.sum(axis=1)), np.repeat(np.tile(powers, len(tokens)), times.ravel())
 
 
 def pieces(
@@ -120,37 +125,32 @@ def pieces(
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, slots = encoder(tokenizer_path), TaskContext.get().partitionId(), {}
+        enc, part, used = encoder(tokenizer_path), TaskContext.get().partitionId(), dict.fromkeys(
+            (longest >> b for b in range(longest.bit_length())), 0)
         for batch in batches:
-            column, doc_ids = text_column(batch, "text"), batch.column(0)
-            lo = 0
-            while lo < len(column):
-                hi = lo + 1
-                size = len(column[lo].as_buffer())
-                while hi < len(column) and size < 4 << 20:
-                    size += len(column[hi].as_buffer())
-                    hi += 1
-                tokens, offsets = enc.texts(column.slice(lo, hi - lo))
-                rows: list[tuple] = []
-                values = []
-                for i in range(hi - lo):
-                    ids = np.append(tokens[offsets[i] : offsets[i + 1]], np.uint32(end_id)).astype("<u4")
-                    start = 0
-                    for length in piece_lengths(len(ids), longest):
-                        own = ids[start : start + length]
-                        slot = slots.get(length, 0)
-                        slots[length] = slot + 1
-                        rows.append((lo + i, start, length, zlib.crc32(own), len(ids), part, slot))
-                        if with_ids:
-                            values.append(own)
-                        start += length
-                got = list(zip(*rows, strict=True))
-                arrays = [doc_ids.take(pa.array(got[0], pa.int64())), *(pa.array(x, pa.int64()) for x in got[1:5]), pa.array(got[5], pa.int32()), pa.array(got[6], pa.int64())]
+            for lo, hi, tokens, offsets in enc.blocks(text_column(batch, "text")):
+                size = np.diff(offsets) + 1
+                ends = np.cumsum(size)
+                ids = np.empty(int(ends[-1]), "<u4")
+                ids[ends - 1] = end_id
+                own = np.ones(len(ids), bool)
+                own[ends - 1] = False
+                ids[own] = tokens
+                doc, length = piece_lengths(size, longest)
+                after = np.cumsum(length)
+                view = memoryview(ids).cast("B")
+                crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((after - length).tolist(), after.tolist(), strict=True)]
+                slot = np.empty(len(length), np.int64)
+                for kind in used:
+                    same = np.flatnonzero(length == kind)
+                    slot[same] = used[kind] + np.arange(len(same))
+                    used[kind] += len(same)
+                arrays = [
+                    batch.column(0).take(pa.array(lo + doc)), pa.array(after - length - (ends - size)[doc]), pa.array(length), pa.array(crc, pa.int64()),
+                    pa.array(size[doc]), pa.array(np.full(len(doc), part), pa.int32()), pa.array(slot)]
                 if with_ids:
-                    arrays.append(lists(np.concatenate(values).astype(np.int32), np.concatenate([[0], np.cumsum(got[2])]), pa.int32()))
-                names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
-                yield pa.RecordBatch.from_arrays(arrays, names)
-                lo = hi
+                    arrays.append(lists(ids.astype(np.int32), np.append(0, after), pa.int32()))
+                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids)
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 

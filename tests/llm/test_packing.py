@@ -1,13 +1,17 @@
+import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gazeledger.llm import packing
+from gazeledger.llm.word_ids import ChunkTable
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = Tokenizer.from_file(PATH)
@@ -17,13 +21,42 @@ def ids_of(text):
     return [*WHOLE.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("aAé'sßİΣ ́\t\n 12##,.漢<|endoftext|>")) , max_size=6))
-def test_word_ids_are_text_ids(texts):
-    import pyarrow as pa
+def token_lists(texts, enc=None):
+    out = []
+    for _, _, ids, offsets in (enc or packing.encoder(PATH)).blocks(pa.array(texts, pa.string())):
+        out += [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return out
 
-    ids, offsets = packing.encoder(PATH).texts(pa.array(texts, pa.string()))
-    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [ids_of(t)[:-1] for t in texts]
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aAé'sßİΣ ́\t\n 12##,.漢×Ö½—l<|endoftext|>")), max_size=6))
+def test_chunk_ids_are_text_ids(texts):
+    assert token_lists(texts) == [ids_of(t)[:-1] for t in texts]
+
+
+def test_small_table_gives_the_same_ids():
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdeÉ.,'9", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    enc = packing.WordEncoder(PATH)
+    enc.table = ChunkTable(enc.segment, chunks=30)
+    old = packing.BLOCK_BYTES
+    packing.BLOCK_BYTES = 700
+    try:
+        assert token_lists(texts, enc) == [ids_of(t)[:-1] for t in texts]
+        assert len(enc.table.places) < 400
+        enc.table.max_ids = 50
+        assert token_lists(texts[:20], enc) == [ids_of(t)[:-1] for t in texts[:20]]
+    finally:
+        packing.BLOCK_BYTES = old
+
+
+def test_piece_lengths():
+    for tokens in (1, 2, 3, 2047, 2048, 2049, 7000):
+        doc, got = packing.piece_lengths(np.array([5, tokens]), 2048)
+        assert got[doc == 0].tolist() == [4, 1]
+        full, rest = divmod(tokens, 2048)
+        assert got[doc == 1].tolist() == [2048] * full + [1 << b for b in range(10, -1, -1) if rest >> b & 1]
+    assert packing.piece_lengths(np.array([3]), 1)[1].tolist() == [1, 1, 1]
 
 
 def test_round_trip(spark):
