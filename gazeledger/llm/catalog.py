@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazeledger.llm import decontaminate, embeddings, language, main_text, near_text, oracles, packing, quality, repeats, secrets, warc
+from gazeledger.llm import decontaminate, embeddings, language, main_text, near_text, oracles, packing, pieces, quality, repeats, secrets, warc
 from gazeledger.llm.common import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), PIECES, packed=True)
+    return pieces.digests(pieces.decode(encoded, PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
@@ -67,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_near_text": op9_near_text,
     "op10_packing": op10_packing,
+    "op12_pieces": op12_pieces,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
