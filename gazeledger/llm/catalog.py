@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazeledger.llm import decontaminate, embeddings, language, main_text, near_text, oracles, packing, pieces, quality, repeats, secrets, warc
+from gazeledger.llm import decontaminate, divergence, embeddings, language, main_text, near_text, oracles, packing, pieces, quality, repeats, secrets, warc
 from gazeledger.llm.common import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents"), PIECES, packed=True)
     return pieces.digests(pieces.decode(encoded, PIECES))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_near_text": op9_near_text,
     "op10_packing": op10_packing,
+    "op11_divergence": op11_divergence,
     "op12_pieces": op12_pieces,
 }
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gazeledger.llm import decontaminate
+from gazeledger.llm import decontaminate, divergence
 
 _REACH = """reach as (select id as a, id as b from nodes union select r.a, l.b from reach r join links l on l.a = r.b),
 parts as (select a as id, min(b) as component_id from reach group by a)"""
@@ -43,4 +43,5 @@ ORACLES = {
     "op5_warc": WARC,
     "op8_embeddings": EMBEDDINGS,
     "op9_near_text": NEAR_TEXT,
+    "op11_divergence": divergence.ORACLE,
 }
