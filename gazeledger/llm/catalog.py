@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazeledger.llm import decontaminate, divergence, embeddings, language, main_text, near_text, oracles, packing, pieces, quality, repeats, secrets, warc
+from gazeledger.llm import decontaminate, divergence, embeddings, language, main_text, near_text, oracles, packing, pieces, quality, repeats, secrets, warc, whitening
 from gazeledger.llm.common import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +66,10 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.decode(encoded, PIECES))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
@@ -79,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_divergence": op11_divergence,
     "op12_pieces": op12_pieces,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
