@@ -11,7 +11,7 @@ Four kinds of spans, in code points with exclusive ends:
   Candidates that the allow-list names (plain words, digits only, paths, placeholders) are left out, and so are spans
   that a fixed pattern already covers.
 
-NULL texts count as empty; empty texts have no spans and the digest of the empty string. Every input row gives one
+Texts and candidates of any length are read whole, in time that grows with their length. NULL texts count as empty; empty texts have no spans and the digest of the empty string. Every input row gives one
 output row, also repeated rows and rows with a NULL id; empty tables give empty results. ``find`` returns its own columns
 only; ``redact`` keeps all columns of its input and changes the text.
 """
@@ -30,6 +30,7 @@ ASSIGN_WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 ASSIGN_VALUE = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # the same matches as AKIA[A-Z0-9]+ of 18 or more characters
 HEX = r"[0-9a-f]{16,}"  # the same matches as [0-9a-f]+ of 16 or more characters
+_ZERO = 48  # the code of a count of 0
 KINDS = ["assign", "access", "hex", "entropy"]
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -40,12 +41,14 @@ CLASSES = {
     "alphanumeric": (r"\A[A-Za-z0-9]+\z", 20, 3.7),
     "base64": (r"\A[A-Za-z0-9+/_=-]+\z", 24, 3.9),
 }
+# No pattern repeats a group: Java's matcher would recurse once per repetition, and a long text would end the JVM.
 ALLOWED = [
-    r"\A[A-Za-z]?[a-z]*\z", r"\A[A-Z]+\z",  # words
+    r"\A(?!.*[0-9])(?!.*[A-Za-z][A-Z])",  # words and compounds, paths: no digit, capitals only at the start of a word
+    r"\A[A-Z][A-Z+/_=-]*\z",  # the same in capitals
     r"\A[0-9+/_=-]+\z",  # numbers, dates, rules
-    r"\A[A-Za-z]?[a-z]*(?:[-_/=+][A-Za-z]?[a-z]*)+\z", r"\A[A-Z]+(?:[-_/=+][A-Z]*)+\z",  # compounds, paths
     r"(?i)example|placeholder|changeme|xxxx|\A(.)\1*\z",
 ]
+PIECE = 256  # characters of a candidate that one fold goes over
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -75,25 +78,29 @@ def _weight(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
 
-def high_windows(value: Column, window: int, least: float) -> Column:
-    """Merged windows of ``value`` whose entropy is at least ``least`` bits: ARRAY<STRUCT<start, end>>, offsets in it."""
+def _piece_windows(value: Column, window: int, least: float) -> Column:
+    """Merged windows of a short ``value``. The counts are kept in a string with one digit per character of the alphabet."""
 
     def place(at: Column) -> Column:
         return F.instr(F.lit(ALPHABET), F.substring(value, at, 1))
 
     def step(state: Column, at: Column) -> Column:
-        inner = F.when(at > window, place(at - window)).otherwise(F.lit(0))
-
         def moved(io: Column) -> Column:
             came, left = io["came"], io["left"]
-            before_in, before_out = F.get(state["counts"], came - 1), F.get(state["counts"], left - 1)
+
+            def count(of: Column) -> Column:
+                return F.ascii(F.substring(state["counts"], of, 1)) - _ZERO
+
+            def put(counts: Column, of: Column, n: Column) -> Column:
+                return F.overlay(counts, F.char(n + _ZERO), of, 1)
+
+            before_in, before_out = count(came), count(left)
             same = came == left
             total = state["total"] + F.when(same, 0.0).otherwise(
                 _weight(before_in + 1) - _weight(before_in)
                 + F.when(left > 0, _weight(before_out - 1) - _weight(before_out)).otherwise(0.0))
-            counts = F.transform(
-                state["counts"],
-                lambda n, i: n + (i == came - 1).cast("int") - (i == left - 1).cast("int"))
+            added = put(state["counts"], came, before_in + 1)
+            counts = F.when(same, state["counts"]).when(left > 0, put(added, left, before_out - 1)).otherwise(added)
             high = (at >= window) & (F.lit(math.log2(window)) - total / window >= least)
             start, last = at - window, F.element_at(F.concat(F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))), state["spans"]), -1)
             joins = last["end"] >= start
@@ -102,14 +109,41 @@ def high_windows(value: Column, window: int, least: float) -> Column:
                 F.array(F.struct(F.when(joins, last["start"]).otherwise(start).alias("start"), at.alias("end"))))
             return F.struct(counts.alias("counts"), total.alias("total"), F.when(high, grown).otherwise(state["spans"]).alias("spans"))
 
+        inner = F.when(at > window, place(at - window)).otherwise(F.lit(0))
         return let(F.struct(place(at).alias("came"), inner.alias("left")), moved)
 
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"),
+        F.lit(chr(_ZERO) * len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"),
         F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), zero, step, lambda s: s["spans"])
 
 
+def high_windows(value: Column, window: int, least: float) -> Column:
+    """Merged windows of ``value`` whose entropy is at least ``least`` bits: ARRAY<STRUCT<start, end>>, offsets in it.
+
+    The value is cut into pieces that reach ``window - 1`` characters back, so every window lies in exactly one piece and
+    the work grows with the length.
+    """
+
+    def of_pieces(pieces: Column) -> Column:
+        def own(piece: Column, i: Column) -> Column:
+            back = F.when(i > 0, F.lit(window - 1)).otherwise(F.lit(0))
+            whole = F.when(i > 0, F.concat(F.right(F.get(pieces, i - 1), F.lit(window - 1)), piece)).otherwise(piece)
+            return let(whole, lambda text: F.transform(_piece_windows(text, window, least), lambda w: F.struct(
+                (w["start"] + i * PIECE - back).alias("start"), (w["end"] + i * PIECE - back).alias("end"))))
+
+        return F.flatten(F.transform(pieces, own))
+
+    def merged(spans: Column) -> Column:
+        """Spans stand in order, so each joins its neighbour or none."""
+        first = F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, i - 1)["end"] < s["start"]))
+        last = F.filter(spans, lambda s, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["start"] > s["end"]))
+        return F.zip_with(first, last, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+
+    pieces = F.regexp_extract_all(value, F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+    return let(let(pieces, of_pieces), merged)
+
+
 def high_whole(value: Column, window: int, least: float) -> Column:
     """The same for a value shorter than ``window``: all of it, or nothing."""
     n = F.char_length(value)

@@ -96,3 +96,34 @@ def test_redaction_keeps_the_rest(spark):
     assert rows[2]["text"] is None and rows[3]["text"] == "clean" and rows[1]["_row"] == "k"
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert secrets.find(empty).count() == 0 and secrets.redact(empty).count() == 0
+
+
+def test_long_candidates_end_and_keep_their_spans(spark):
+    rng = random.Random(11)
+    long = ["".join(rng.choices(a, k=n)) for n in (255, 256, 257, 600, 5000) for a in (secrets.ALPHABET, secrets.ALPHABET[:62], "0123456789abcdef", "ab1-")]
+    spotted = ("a1" * 300 + "".join(rng.choices(secrets.ALPHABET, k=40))) * 4
+    docs = spark.createDataFrame([(i, f"é {t}.") for i, t in enumerate([*long, spotted])], "doc_id bigint, text string")
+    for r in secrets.find(docs).collect():
+        text = f"é {[*long, spotted][r['doc_id']]}."
+        fixed = base(text)
+        added = [e for e in entropy(text) if not any(b[0] <= e[0] and b[2] >= e[2] for b in fixed)]
+        assert r["spans"] == joined(fixed + added), text[:40]
+
+
+def test_very_long_candidates_do_not_end_the_jvm(spark):
+    """Two million characters of every class, and the texts that once overflowed the matcher's stack."""
+    texts = ["ab/" * 700_000, "a-" * 1_000_000, "A_" * 1_000_000, "0" * 2_000_000, "-" * 2_000_000, "x" * 2_000_000, "ab/" * 2000 + "1", "Ab" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r for r in secrets.find(docs).collect()}
+    assert [got[i]["n_entropy"] for i in range(len(texts))] == [0] * len(texts)
+    rng = random.Random(12)
+    blobs = ["".join(rng.choices(a, k=100_000)) for a in (secrets.ALPHABET, secrets.ALPHABET[:62])]
+    rows = secrets.find(spark.createDataFrame(list(enumerate(blobs)), "doc_id bigint, text string")).collect()
+    assert all(r["n_entropy"] > 0 for r in rows)
+
+
+def test_allow_list():
+    for value in ("some/long/Path-of_words", "plainword", "Capital", "UPPER-CASE_NAME", "2024-01-02", "A", "a-"):
+        assert any(re.search(p.replace(r"\z", r"\Z"), value) for p in secrets.ALLOWED), value
+    for value in ("camelCase", "UPPERlower", "a1", "-UPPER", "Some-PAth", "abC/def"):
+        assert not any(re.search(p.replace(r"\z", r"\Z"), value) for p in secrets.ALLOWED), value
