@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from gazeledger.functions.regex import let, once
 from gazeledger.llm.common import materialise
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS, TOP_TERMS = 3, 200
 SHARE = 1_000_000_000
 SOURCES_A_TASK = 256  # a term of more sources is dealt out
@@ -65,8 +65,8 @@ def weighted_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     # a list holds at most the sources of a language, each once
     held = copies.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "rows")).alias("held"))
     tokens = texts.join(held, ["lang", "digest"]).select(
-        "lang", "held", once(tallied(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0)))).alias("terms"))
-    terms = tokens.select("lang", "held", F.explode("terms").alias("t"))
+        "lang", "held", once(tallied(F.split(lower_ascii(F.col("text")), BETWEEN_TERMS))).alias("terms"))
+    terms = tokens.select("lang", "held", F.explode("terms").alias("t")).where("t.term <> ''")
     each = terms.select("lang", F.inline("held"), F.col("t.term").alias("term"), F.col("t.n").alias("times"))
     counts = each.groupBy("lang", "source", "term").agg(F.sum(F.col("rows") * F.col("times")).alias("n"), F.sum("rows").alias("documents"))
     return materialise(counts, "counts"), materialise(copies.select("lang", "source").distinct(), "groups")
