@@ -203,9 +203,12 @@ ORACLE_FIELDS = {
     "action": r'\bACTION\s*:\s*"?([^"\n]+)"?',
     "object": r'OBJ\s*NAME\s*:\s*"?([^"\n]+)"?',
     "stamp": r"TIMESTAMP\s*:\s*([^\n]+)",
-    "sql": r"SQL TEXT\s*:\s*([^\n]+(?:\n\s+[^\n]+)*)",
+    # possessive, so that the matcher goes on line by line instead of recursing
+    "sql": r"SQL TEXT\s*:\s*([^\n]+(?:\n\s+[^\n]+)*+)",
 }
 
+ORACLE_FIELD_LINES = 3  # a field's name, colon and value may stand on lines of their own
+
 # ---------------------------------------------------------------------------
 # Returned-row-count patterns in the order they are tried.
 # ---------------------------------------------------------------------------

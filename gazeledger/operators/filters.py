@@ -76,6 +76,11 @@ def select_measures(summaries: DataFrame, misuse: bool, excess: bool) -> DataFra
     return summaries.withColumns(off) if off else summaries
 
 
+def first_part(events: DataFrame) -> Column:
+    """False for the further parts of a record that is longer than one event: text to scan, but no access of its own."""
+    return F.try_element_at("extra", F.lit("part")).isNull() if "extra" in events.columns else F.lit(True)
+
+
 def counter_eligible(events: DataFrame) -> DataFrame:
-    """Events that the counters see: timestamp and user present."""
-    return events.where(F.col("ts").isNotNull() & (F.col("user_id") != ""))
+    """Events that the counters see: timestamp and user present, and the first part of their record."""
+    return events.where(F.col("ts").isNotNull() & (F.col("user_id") != "") & first_part(events))

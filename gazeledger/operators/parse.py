@@ -23,6 +23,7 @@ from gazeledger.operators.ordered import running
 from gazeledger.params import AuditParams
 from gazeledger.schemas import EVENT_COLUMNS
 from gazeledger.session import checked_broadcast, materialise
+from gazeledger.sources.records import joined_lines, placed_lines
 
 _KEEP = ["source_file", "line_no", "raw_line"]
 _NO_EXTRA = "map<string,string>"
@@ -280,21 +281,25 @@ def _oracle_lines(marked: DataFrame, blocks: DataFrame, params: AuditParams) ->
     ).where("_role = 1")
 
 
-def _oracle_events(lines: DataFrame, params: AuditParams) -> DataFrame:
-    """One event per closed block; its line number is that of the closing line."""
-    text = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw_line"))), lambda s: s["raw_line"]), "\n")
-    rows = (
-        lines.where(F.col("_block.end_line").isNotNull())
-        .groupBy("source_file", F.col("_block.start_line").alias("_first"), F.col("_block.end_line").alias("line_no"))
-        .agg(text.alias("_text"))
-    )
-    field = {
-        name: F.nullif(strip(F.regexp_extract(F.col("_text"), IGNORE_CASE + pattern, 1)), F.lit(""))
-        for name, pattern in C.ORACLE_FIELDS.items()
-    }
-    rows = rows.withColumns({f"_{k}": v for k, v in field.items()})
-    sql = F.coalesce(F.col("_sql"), F.col("_text"))
+def _block_parts(lines: DataFrame, params: AuditParams) -> DataFrame:
+    """The text of every closed block as parts of bounded size: ``_text``, ``_closing`` (the block ends in this part) and
+    what its neighbours need, ``_head`` (the first lines) and ``_next``."""
+    inside = lines.where(F.col("_block.end_line").isNotNull())
+    placed = placed_lines(inside, ["source_file"], F.col("line_no") == F.col("_block.start_line"), params.part_bytes)
+    parts = placed.groupBy(
+        "source_file", F.col("_block.start_line").alias("_first"), F.col("_block.end_line").alias("line_no"), F.col("part").alias("_part"),
+    ).agg(
+        F.collect_list(F.struct("line_no", "raw_line")).alias("_lines"),
+        F.max("line_no").alias("_last"),
+        F.max("next_part").alias("_next"))
+    head = F.array_join(F.transform(F.slice(F.array_sort("_lines"), 1, C.ORACLE_FIELD_LINES), lambda s: s["raw_line"]), "\n")
+    return parts.select(
+        "source_file", "_first", "line_no", "_part", "_next", joined_lines(F.col("_lines")).alias("_text"), head.alias("_head"),
+        (F.col("_last") == F.col("line_no")).alias("_closing"))
+
+
+def _oracle_columns(rows: DataFrame, field: dict[str, Column], sql: Column, params: AuditParams, part: Column) -> DataFrame:
+    rows = rows.withColumns({f"_{k}": F.nullif(strip(v), F.lit("")) for k, v in field.items()} | {"_query": sql})
     return _events(
         rows, "db",
         raw_line=F.col("_text"),
@@ -302,12 +307,78 @@ def _oracle_events(lines: DataFrame, params: AuditParams) -> DataFrame:
         user_id=F.coalesce("_db_user", "_os_user"),
         action=F.col("_action"),
         target=F.col("_object"),
-        query_text=sql,
-        is_bulk=extract.bulk_flag(sql, params.bulk_select_row_threshold),
-        extra=_extra(os_user=F.col("_os_user"), db_type=F.lit("oracle")),
+        query_text=F.col("_query"),
+        is_bulk=extract.bulk_flag(F.coalesce("_query", "_text"), params.bulk_select_row_threshold),
+        extra=_extra(os_user=F.col("_os_user"), db_type=F.lit("oracle"), part=part),
     )
 
 
+def _oracle_events(lines: DataFrame, params: AuditParams) -> DataFrame:
+    """One event per closed block; its line number is that of the closing line.
+
+    A block of more than ``params.part_bytes`` gives an event for every part of its text, all with the block's fields and
+    line number. Those behind the first carry ``extra['part']``: they are scanned like any text, but are no further access.
+    """
+    parts = _block_parts(lines, params)
+    whole = (F.col("_part") == 0) & F.col("_closing")
+    text = F.col("_text")
+    found = {name: F.regexp_extract(text, IGNORE_CASE + pattern, 1) for name, pattern in C.ORACLE_FIELDS.items()}
+    short = parts.where(whole)
+    single = _oracle_columns(
+        short, {k: v for k, v in found.items() if k != "sql"}, F.coalesce(F.nullif(strip(found["sql"]), F.lit("")), text),
+        params, F.lit(None).cast("string"))
+    return single.unionByName(_long_block_events(materialise(parts.where(~whole), "long-blocks"), params))
+
+
+def _long_block_events(parts: DataFrame, params: AuditParams) -> DataFrame:
+    """Events of blocks in several parts.
+
+    A field's value may stand some lines below its mark, so a part is searched with the first lines of the next one, and a
+    match counts where it begins. The SQL text runs on through the indented lines at the start of the following parts.
+    """
+    block = ["source_file", "_first"]
+    behind = parts.select(*block, F.col("_part").alias("_next"), F.col("_head").alias("_ahead"))
+    rows = parts.join(behind, [*block, "_next"], "left")
+    text = F.col("_text")
+    wide = F.concat_ws("\n", text, "_ahead")
+
+    def begins_here(pattern: str, value: Column) -> Column:
+        at = F.regexp_instr(wide, F.lit(IGNORE_CASE + pattern))
+        return F.when((at > 0) & (at <= F.char_length(text)), value)
+
+    patterns = {k: v for k, v in C.ORACLE_FIELDS.items() if k != "sql"}
+    sql = IGNORE_CASE + C.ORACLE_FIELDS["sql"]
+    own = F.regexp_extract(text, sql, 1)
+    rows = rows.withColumns({
+        **{f"_f_{k}": begins_here(p, F.regexp_extract(wide, IGNORE_CASE + p, 1)) for k, p in patterns.items()},
+        "_own": F.when(begins_here(C.ORACLE_FIELDS["sql"], F.lit(True)), own),  # empty: the value starts in the next part
+        "_sql_end": F.regexp_instr(text, F.lit(sql)) - 1 + F.char_length(F.regexp_extract(text, sql, 0)),
+        "_run": F.regexp_extract(text, r"\A((?:\s[^\n]+(?:\n|\z))*+)", 1),
+        "_run_on": F.regexp_extract(text, r"\A([^\n]+(?:\n\s+[^\n]+)*+)", 1),
+    }).drop("_head", "_ahead")
+    rows = materialise(rows, "long-blocks")
+    ends = F.col("_own").isNotNull() & ((F.col("_own") == "") | (F.col("_sql_end") == F.char_length(text)))
+    marks = rows.select(
+        *block, "_part", "_next", *[f"_f_{k}" for k in patterns],
+        F.col("_own").isNotNull().alias("_mark"), ends.alias("_ends"), (F.col("_own") == "").alias("_bare"),
+        (F.char_length("_run") == F.char_length(text)).alias("_all_run"), (F.char_length("_run_on") == F.char_length(text)).alias("_all_on"))
+    facts = marks.groupBy(*block).agg(
+        *[F.min_by(f"_f_{k}", F.when(F.col(f"_f_{k}").isNotNull(), F.col("_part"))).alias(f"_v_{k}") for k in patterns],
+        F.min_by(F.struct("_part", "_next", "_ends", "_bare"), F.when(F.col("_mark"), F.col("_part"))).alias("_sql"))
+    facts = checked_broadcast(facts, "blocks")
+    after_mark = F.col("_bare_next") & (F.col("_part") == F.col("_sql._next"))
+    stop = marks.join(facts.select(*block, "_sql"), block).where("_sql._ends and _part > _sql._part").withColumn(
+        "_bare_next", F.col("_sql._bare")).where(~F.when(after_mark, F.col("_all_on")).otherwise(F.col("_all_run")))
+    stop = checked_broadcast(stop.groupBy(*block).agg(F.min("_part").alias("_stop")), "blocks")
+    joined = rows.join(facts, block).join(stop, block, "left").withColumn("_bare_next", F.col("_sql._bare"))
+    continues = F.col("_sql._ends") & (F.col("_part") > F.col("_sql._part")) & (F.coalesce(F.col("_part") <= F.col("_stop"), F.lit(True)))
+    piece = F.when(F.col("_part") == F.col("_sql._part"), F.col("_own")).when(
+        continues, F.when(after_mark, F.col("_run_on")).otherwise(F.col("_run")))
+    number = F.when(F.col("_part") > 0, F.col("_part").cast("string"))
+    return _oracle_columns(
+        joined, {k: F.col(f"_v_{k}") for k in patterns}, F.coalesce(F.nullif(strip(piece), F.lit("")), text), params, number)
+
+
 def parse_mysql(lines: DataFrame, params: AuditParams) -> DataFrame:
     """The MySQL lines among ``lines``."""
     return _mysql(_marked(lines, params), params)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazeledger.functions import constants as C
 from gazeledger.operators.exposure import exposure_rollup_aggs
-from gazeledger.operators.filters import select_findings, select_measures
+from gazeledger.operators.filters import first_part, select_findings, select_measures
 from gazeledger.operators.ordered import ranked
 from gazeledger.params import AuditParams
 
@@ -48,7 +48,7 @@ def _event_rollup(events: DataFrame) -> DataFrame:
     # the set of types has at most one entry per pattern, so it is small for any user
     types = F.flatten(F.collect_set(F.array_sort(F.array_distinct("pii_hits.pii_type")))) if has_hits else F.array().cast("array<string>")
     return events.groupBy(user).agg(
-        F.count(F.lit(1)).alias("total_events"),
+        F.count_if(first_part(events)).alias("total_events"),
         F.count_if(has_pii).alias("pii_event_count"),
         (F.array_sort(F.array_distinct(types)) if has_hits else F.first(types)).alias("pii_types"),
         *exposure_rollup_aggs(),

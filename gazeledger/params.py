@@ -40,6 +40,7 @@ class AuditParams:
     ts_mode: str = "strict"        # or "lenient": also accept ',ms' and fraction + 'Z'
     chunk_minutes: int = 10        # time slice that bounds one window group; divides 60
     chunk_lines: int = 100_000     # line slice that bounds one per-file window group
+    part_bytes: int = 1 << 20      # longer records of several lines are worked on in parts of this size
 
     def __post_init__(self) -> None:
         if self.chunk_minutes < 1 or 60 % self.chunk_minutes:

@@ -85,7 +85,7 @@ def charset_fallback(spark, sf):
 
 @query("multiline_records", f"""{with_views('oracle_log')}, numbered as (select *, sum(case when raw_line like 'ACTION%' then 1 else 0 end)
  over (order by line_no rows unbounded preceding) as rec from oracle_log)
-select min(line_no) as start_line_no, string_agg(raw_line, chr(10) order by line_no) as record from numbered group by rec""")
+select min(line_no) as start_line_no, cast(0 as bigint) as part, string_agg(raw_line, chr(10) order by line_no) as record from numbered group by rec""")
 def multiline_records(spark, sf):
     return records.multiline_records(view(spark, sf, "oracle_log"), r"\AACTION", P).drop("source_file")
 
