@@ -1,36 +1,37 @@
 """Language identification (operator 1): compression with one raw-content dictionary per language.
 
-Fitting takes, per language, up to ``DICTIONARY_BYTES`` of normalised text from at most ``SAMPLE_TEXTS`` labelled texts
-(their first ``SAMPLE_CHARS`` characters), chosen by a hash of the text. Identification encodes each whole text, block
+Fitting takes, per language, up to ``DICTIONARY_BYTES`` of normalised text from at most ``SAMPLE_TEXTS`` distinct labelled
+texts, chosen by a hash of the text; of a long one only as much as fits. A language with less text than that repeats it up
+to the size, so that all dictionaries are alike in size and no language is favoured or weakened by another's. A sample is
+at most languages x ``SAMPLE_TEXTS`` texts, cut to the dictionary's size. Identification encodes each whole text, block
 by block, with Zstandard under every dictionary and takes the language of the smallest sum; equal sums go to the
 language with most labelled texts. ``score`` is the weight of that language when a byte saved counts as ``BYTE_WEIGHT`` nats; if
 the margin to the second is below ``min_margin`` of the size, ``rejected`` is true and the prediction is not to be relied on.
 
-Texts are lower-cased and everything but letters becomes one space. NULL texts and texts without a letter are ``und``
-with score 0. Texts of any length are read whole. If nothing can be learned (no labelled text), every text is ``und``.
-Repeated rows and rows with a NULL id are predicted each. Only the named columns are read.
+Texts are lower-cased and everything but letters, with the marks that follow them, becomes one space. NULL texts and texts
+without a letter are ``und`` with score 0. Texts of any length are read whole. If nothing can be learned (no labelled text),
+every text is ``und``. Repeated rows and rows with a NULL id are predicted each. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DICTIONARY_BYTES = 96 << 10
-SAMPLE_TEXTS, SAMPLE_CHARS = 300, 4000
-MAX_LANGUAGES = 200
-BLOCK = 4096
-SHORT, LEVEL, SHORT_LEVEL = 512, 5, 12
+SAMPLE_TEXTS = 300
+BLOCK, LEVEL = 4096, 5
 BYTE_WEIGHT = 0.35
 NONE = "und"
 RESULT = "doc_id bigint, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+# a run of what is neither a letter nor a mark; the letters that \w takes in addition (digits, numbers, _) are left out too
+_NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+|(?<!\p{L}\p{M}*)\p{M}+")
 
 
 def normal(text: str | None) -> bytes:
@@ -38,18 +39,19 @@ def normal(text: str | None) -> bytes:
 
 
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """Dictionary per language from rows where ``learn`` holds and the language is known.
-
-    Beyond ``MAX_LANGUAGES`` languages only the most frequent are learned.
-    """
+    """Dictionary per language from rows where ``learn`` holds and the language is known, the most frequent language first."""
     known = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
     hashed = known.where(F.char_length("text") > 0).withColumn("h", F.xxhash64("text"))
+    counts = hashed.groupBy("lang", "h").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = hashed.select("lang", "h").where(F.col("lang").isin(langs)).withColumn("r", rank).where(F.col("r") <= texts)
+    langs = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    chosen = counts.select("lang", "h").withColumn("r", rank).where(F.col("r") <= texts).drop("r")
     sample = (
-        hashed.join(F.broadcast(chosen.select("lang", "h").distinct()), ["lang", "h"])
-        .select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().orderBy("lang", "h", "text").collect()
+        hashed.join(F.broadcast(chosen), ["lang", "h"])
+        .groupBy("lang", "h").agg(F.min(F.substring("text", 1, DICTIONARY_BYTES)).alias("text"))
+        # what comes to the driver is about four dictionaries' size per language, as normalising shortens texts
+        .withColumn("before", F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)))
+        .where(F.coalesce("before", F.lit(0)) < 3 * DICTIONARY_BYTES).orderBy("lang", "h").collect()
     )
     content: dict[str, list[bytes]] = {}
     for r in sample:
@@ -58,28 +60,24 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
         if piece and sum(map(len, own)) < DICTIONARY_BYTES:
             own.append(piece)
     found = {lang: b" ".join(x) for lang, x in content.items() if x}
-    size = max(min([DICTIONARY_BYTES, *map(len, found.values())]), 8 << 10)  # alike for all, or the largest would win
-    return {lang: found[lang][-size:] for lang in langs if lang in found}
+    return {lang: ((found[lang] + b" ") * (DICTIONARY_BYTES // (len(found[lang]) + 1) + 1))[-DICTIONARY_BYTES:] for lang in langs if lang in found}
 
 
 class Encoders:
-    """Compressors of all languages; short texts get a higher level, which costs little there."""
+    """Compressors of all languages."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = list(dictionaries)
-        self.by_level = {}
-        for level in (LEVEL, SHORT_LEVEL):
-            own = []
-            for content in dictionaries.values():
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                own.append(zstandard.ZstdCompressor(
-                    level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
-            self.by_level[level] = own
+        self.compress = []
+        for content in dictionaries.values():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.compress.append(zstandard.ZstdCompressor(
+                level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
 
     def sizes(self, text: bytes) -> list[int]:
         blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
-        return [sum(len(c(b)) for b in blocks) for c in self.by_level[SHORT_LEVEL if len(text) < SHORT else LEVEL]]
+        return [sum(len(c(b)) for b in blocks) for c in self.compress]
 
     def predict(self, text: str | None, min_margin: float) -> tuple[str, float, float, bool]:
         plain = normal(text)

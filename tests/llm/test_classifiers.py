@@ -34,16 +34,38 @@ def test_language_is_the_smallest_encoding(spark):
         if not plain:
             assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
             continue
-        level = language.SHORT_LEVEL if len(plain) < language.SHORT else language.LEVEL
         sizes = {}
         for lang, content in dictionaries.items():
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            c = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)
+            c = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
             sizes[lang] = sum(len(c.compress(plain[k : k + language.BLOCK])) for k in range(0, len(plain), language.BLOCK))
         assert sizes[r["lang_pred"]] <= min(sizes.values()) + len(plain) // language.BLOCK + 1, i
         assert r["lang_pred"] == ("xx" if b"alpha" in plain else "yy")
 
 
+def test_copies_do_not_crowd_out_a_language(spark):
+    rng = random.Random(8)
+    rows = [("xx", " ".join(rng.choices(["alpha", "beta", "gamma"], k=30)) + f" x{'abcdefghij'[i % 10] * (i // 10 + 1)}") for i in range(200)]
+    rows += [("yy", " ".join(rng.choices(["uno", "due", "tre"], k=30)) + f" y{'abcdefghij'[i % 10] * (i // 10 + 1)}") for i in range(200)]
+    plain = language.fit(spark.createDataFrame(rows, "lang string, text string"), F.lit(True), texts=20)
+    copied = language.fit(spark.createDataFrame(rows + rows[:1] * 500 + rows[250:251] * 900, "lang string, text string"), F.lit(True), texts=20)
+    assert {k: sorted(v.split()) for k, v in plain.items()} == {k: sorted(v.split()) for k, v in copied.items()}
+    assert {len(v) for v in plain.values()} == {language.DICTIONARY_BYTES}
+    few = language.fit(spark.createDataFrame(rows + [("zz", "solo")], "lang string, text string"), F.lit(True))
+    assert few["xx"] == language.fit(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))["xx"] and b"solo" in few["zz"]
+
+
+def test_languages_have_no_cap(spark):
+    letters = "abcdefghijklmnopqrst"
+    rows = [(f"l{i}", (letters[i % 20] * 3 + letters[i // 20] * 3 + " ") * 5) for i in range(230)]
+    assert len(language.fit(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))) == 230
+
+
+def test_letters():
+    assert language.normal("² ½ ① Ⅷ 12_3 \u0301") == b""
+    assert language.normal("हिन्दी भाषा, ภาษาไทย e\u0301!") == "हिन्दी भाषा ภาษาไทย e\u0301".encode()
+
+
 def test_language_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id bigint, lang string, text string")
     assert language.fit(empty, F.lit(True)) == {}
