@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gazeledger.functions.extract import short_hash
 from gazeledger.operators.filters import in_business_hours
-from gazeledger.operators.ordered import nth_rows, running
+from gazeledger.operators.ordered import cut_slices, nth_rows, running
 from gazeledger.params import AuditParams
 from gazeledger.schemas import details_struct
 
@@ -49,7 +49,8 @@ def daily_counts(events: DataFrame) -> DataFrame:
 def running_daily(events: DataFrame, params: AuditParams) -> DataFrame:
     """Adds ``d`` and ``running_count``: which event of the user's day this one is."""
     return running(
-        _prepared(events, params), ["user_id", "d"], "_slice", ORDER, sums={"running_count": F.lit(1)}
+        _prepared(events, params), ["user_id", "d"], "_slice", ORDER, sums={"running_count": F.lit(1)},
+        slice_rows=params.slice_rows,
     ).drop("_slice")
 
 
@@ -68,7 +69,8 @@ def _slice_loads(events: DataFrame, params: AuditParams) -> DataFrame:
 def _rolling(events: DataFrame, loads: DataFrame, params: AuditParams) -> DataFrame:
     """Rolling one-hour count of the events in the slices listed in ``loads``.
 
-    Each event also stands, one hour later, as an expiry mark in the slice where it leaves the window. The
+    Slices with very many rows are cut again along the order of events and marks. Each event also stands, one hour later, as an
+    expiry mark in the slice where it leaves the window. The
     count at an event is then: earlier events of its slice + everything behind - expired marks so far. An
     event exactly one hour old still counts.
     """
@@ -82,17 +84,17 @@ def _rolling(events: DataFrame, loads: DataFrame, params: AuditParams) -> DataFr
             F.struct((F.col("_slice") + reach).alias("_slice"), (micros + _HOUR_US).alias("_at"), F.lit(1).alias("_mark")),
         )),
     )
-    upto_here = (
-        Window.partitionBy("user_id", "_slice")
-        .orderBy("_at", "_mark", "source_file", "line_no")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        copies.join(loads.select("user_id", "_slice", "_behind"), ["user_id", "_slice"])
-        .withColumn("rolling_count", F.col("_behind") + F.sum(1 - 2 * F.col("_mark")).over(upto_here))
-        .where("_mark = 0")
-        .drop("_slice", "_at", "_mark", "_behind")
-    )
+    order = ["_at", "_mark", "source_file", "line_no"]
+    copies = copies.join(loads.select("user_id", "_slice", "_behind"), ["user_id", "_slice"])
+    copies, cut = cut_slices(copies, ["user_id"], "_slice", order, params.slice_rows)
+    net = 1 - 2 * F.col("_mark")
+    if cut:
+        counted = running(copies, ["user_id", "_slice"], "_cut", order, sums={"_net": net}).drop("_cut")
+    else:
+        upto_here = Window.partitionBy("user_id", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = copies.withColumn("_net", F.sum(net).over(upto_here))
+    return counted.where("_mark = 0").withColumn("rolling_count", F.col("_behind") + F.col("_net")).drop(
+        "_slice", "_at", "_mark", "_behind", "_net")
 
 
 def rolling_hour(events: DataFrame, params: AuditParams) -> DataFrame:

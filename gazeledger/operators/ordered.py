@@ -5,6 +5,9 @@ share of all rows. Here a group is cut into slices (a time or line range). Per-s
 on the map side and scanned first; they are small, since their number grows with the covered time or the
 file length and not with the number of rows. The totals before each slice are then joined back, and the
 row-level window runs inside one slice.
+
+A line range bounds the rows of a slice by itself; a time range does not. ``cut_slices`` cuts those with too many rows again
+by their rows.
 """
 
 from __future__ import annotations
@@ -15,6 +18,25 @@ from pyspark.sql import functions as F
 from gazeledger.session import materialise
 
 
+def cut_slices(df: DataFrame, keys: list[str], slice_col: str, order: list[str], rows: int) -> tuple[DataFrame, bool]:
+    """Adds ``_cut``, which divides slices of more than ``rows`` rows along ``order``, and whether there is any such slice.
+
+    Without one, ``df`` comes back as it is. The rows of hot slices are dealt into ranges of the order and written, so that
+    a range keeps its number and rows whatever executor reads it again; ranges hold about ``rows`` rows each, also if all
+    of them have the same time. Other rows stay where they are, with ``_cut`` 0.
+    """
+    hot = materialise(df.groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows), "hot-slices")
+    total, slices = hot.agg(F.sum("_rows"), F.count(F.lit(1))).first()
+    if not slices:
+        return df, False
+    hot = hot.select(*keys, slice_col)
+    hot = F.broadcast(hot) if slices <= 100_000 else hot
+    dealt = df.join(hot, [*keys, slice_col], "left_semi").select(*df.columns)
+    dealt = dealt.repartitionByRange(-(-total // rows) + 1, *keys, slice_col, *order).withColumn("_cut", F.spark_partition_id())
+    rest = df.join(hot, [*keys, slice_col], "left_anti").select(*df.columns, F.lit(0).alias("_cut"))
+    return rest.unionByName(materialise(dealt, "cut-slices")), True
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -23,36 +45,40 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     include_current: bool = True,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Add running sums and last non-null values per ``keys`` in ``order``.
 
-    ``slice_col`` must not decrease along ``order`` within ``keys``. Keys and slice must not be NULL.
+    ``slice_col`` must not decrease along ``order`` within ``keys``. Keys and slice must not be NULL. Slices that do not
+    bound their rows by themselves are cut beyond ``slice_rows``.
     """
     sums, lasts = sums or {}, lasts or {}
     position = F.struct(*order)
+    df, cut = cut_slices(df, keys, slice_col, order, slice_rows) if slice_rows else (df, False)
+    parts = [slice_col, "_cut"] if cut else [slice_col]
     staged = df.withColumns(
         {f"_s_{n}": F.coalesce(e.cast("bigint"), F.lit(0).cast("bigint")) for n, e in sums.items()}
         | {f"_l_{n}": e for n, e in lasts.items()}
     )
-    totals = staged.groupBy(*keys, slice_col).agg(
+    totals = staged.groupBy(*keys, *parts).agg(
         *[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums],
         *[F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), position)).alias(f"_t_{n}") for n in lasts],
     )
-    earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *keys,
-        slice_col,
+        *parts,
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts],
     )
     upto = 0 if include_current else -1
-    inside = Window.partitionBy(*keys, slice_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-    out = staged.join(carried, [*keys, slice_col])
+    inside = Window.partitionBy(*keys, *parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    out = staged.join(carried, [*keys, *parts])
     out = out.withColumns(
         {n: F.col(f"_c_{n}") + F.coalesce(F.sum(f"_s_{n}").over(inside), F.lit(0)) for n in sums}
         | {n: F.coalesce(F.last(f"_l_{n}", ignorenulls=True).over(inside), F.col(f"_c_{n}")) for n in lasts}
     )
-    return out.drop(*[f"_{k}_{n}" for k in "sc" for n in sums], *[f"_{k}_{n}" for k in "lc" for n in lasts])
+    return out.drop(*["_cut"] * cut, *[f"_{k}_{n}" for k in "sc" for n in sums], *[f"_{k}_{n}" for k in "lc" for n in lasts])
 
 
 def nth_rows(

@@ -39,6 +39,7 @@ class AuditParams:
     year_hint: int | None = None   # year given to timestamps that carry none; a run takes that of its period, else today's
     ts_mode: str = "strict"        # or "lenient": also accept ',ms' and fraction + 'Z'
     chunk_minutes: int = 10        # time slice that bounds one window group; divides 60
+    slice_rows: int = 200_000      # a time slice of one user with more rows is cut again, by its rows
     chunk_lines: int = 100_000     # line slice that bounds one per-file window group
     part_bytes: int = 1 << 20      # longer records of several lines are worked on in parts of this size
 

@@ -20,7 +20,7 @@ from gazeledger.plans.views import texts, view, with_views
 from gazeledger.session import new_folder
 from gazeledger.sources import records, store, text, xml
 from gazeledger.streaming import alerts
-from gazeledger.streaming.runner import run_available
+from gazeledger.streaming.runner import run_available, run_latest
 
 # --- sources ------------------------------------------------------------------------
 
@@ -168,12 +168,10 @@ def _stream(batch: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(batch.schema).parquet(folder)
 
 
-@query("stream_daily_counts", f"""{BASE}, last as (select max(ts) as t from access_log)
-select user_id, cast(cast(ts as date) as varchar) as d, count(*) as cnt from access_log, last
-where cast(ts as date) + 1 <= t - interval 1 hour group by 1, 2""")
+@query("stream_daily_counts", f"""{BASE} select user_id, cast(cast(ts as date) as varchar) as d, count(*) as cnt from access_log group by 1, 2""")
 def stream_daily_counts(spark, sf):
-    """Days that the watermark has passed."""
-    counts = run_available(alerts.stream_daily_counts(_stream(log(spark, sf), "events"), "1 hour"))
+    """The latest count of every user and day, the last one included."""
+    counts = run_latest(alerts.stream_daily_counts(_stream(log(spark, sf), "events"), "1 hour"), ["user_id", "d"])
     return counts.withColumn("d", F.col("d").cast("string"))
 
 

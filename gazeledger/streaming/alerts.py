@@ -24,7 +24,8 @@ _STATE_SCHEMA = "n bigint, after bigint, bulk bigint, targets array<string>, rec
 
 
 def stream_daily_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Events per user and day of a stream; a day is final when the watermark passes it."""
+    """Events per user and day of a stream. In append mode a day comes out when the watermark has passed it; in update mode,
+    kept by ``runner.run_latest``, every day has its count so far."""
     return (
         events.withColumn("_at", F.col("ts").cast("timestamp"))
         .withWatermark("_at", delay)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gazeledger.session import new_folder
 
@@ -18,3 +19,28 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
+def run_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Process all available input in update mode and keep the latest row of every key.
+
+    Each micro-batch overwrites a folder of its own, so that one that is repeated after a failure counts once; reading takes
+    the row of the highest batch of a key.
+    """
+    spark: SparkSession = stream.sparkSession
+    folder = new_folder(spark, "stream")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/table/batch={batch}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/table/batch=-1")  # the table of a stream without input
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(keep)
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", batch bigint"
+    stored = spark.read.schema(schema).parquet(f"{folder}/table")
+    latest = stored.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row"))
+    return latest.select(*keys, "_row.*").select(*stream.columns)
