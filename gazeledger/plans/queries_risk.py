@@ -470,7 +470,7 @@ def one_line(spark, sf):
         "user_id", justify.one_line(R, F.get("reasons", 0)).alias("summary_one_line"))
 
 
-KEY_SQL = f"""{SUMMARY}, keyed as (select f.*, s.risk_level, row_number() over (partition by f.user_id order by
+KEY_SQL = f"""{SUMMARY}, keyed as (select f.*, s.risk_level, a.exposure_type, a.result_row_count, a.line_no, row_number() over (partition by f.user_id order by
  case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end,
  case when category = 'PII_EXPOSURE' then -coalesce(a.effective_exposure, 0) else 0 end,
  f.ts, reference, substr(sha256(f.user_id || reference || category),1,12), category, evidence) as finding_rank
@@ -497,7 +497,7 @@ _HOW = (
 
 
 # every user of the given tables has shown something, so the text for "nothing shown" is left to the tests
-@query("screen_estimate", f"""{SUMMARY} select user_id, array_to_string(list_filter(['▶ 화면(또는 API 응답) 노출 추정',
+SCREEN_SQL = f"""array_to_string(list_filter(['▶ 화면(또는 API 응답) 노출 추정',
  case when select_pii_query_count > 0 and total_pii_records_exposed > 0 then '   이름·전화번호·주소 등 개인정보 컬럼을 SELECT 절에 포함한 쿼리 '
   || {_fmt('select_pii_query_count')} || '건이 실행되었으며,
    이 쿼리들이 반환한 결과 건수를 합산하면 총 ' || {_fmt('total_pii_records_exposed')} || '건의 개인정보 레코드가 화면 또는 응답으로 전달된 것으로 추정됩니다.' end,
@@ -507,17 +507,32 @@ _HOW = (
  case when unknown_exposure_query_count > 0 then '
    ※ 결과 건수 확인 불가 쿼리 ' || {_fmt('unknown_exposure_query_count')} || '건 추가 존재
       (로그에 결과 건수가 기록되지 않아 위 수치에 미포함 — 실제 노출량은 더 클 수 있음)' end,
- '{_HOW}'], lambda x: x is not null), chr(10)) as screen_estimate from summary""")
+ '{_HOW}'], lambda x: x is not null), chr(10))"""
+
+
+@query("screen_estimate", f"{SUMMARY} select user_id, {SCREEN_SQL} as screen_estimate from summary")
 def screen_estimate(spark, sf):
     return summary(spark, sf).select("user_id", justify.screen_estimate().alias("screen_estimate"))
 
 
-@query("questions", f"""{JUST_SQL} select user_id, cast(1
- + case when total_pii_records_exposed >= 1000 or select_pii_query_count > 0 then 1 else 0 end
- + case when max_single_query_exposure >= 5000 then 1 else 0 end + case when after_hours_count > 0 then 1 else 0 end
- + case when max_queries_per_day >= {d4} then 1 else 0 end + case when bulk_export_count > 0 then 1 else 0 end as bigint) as n_questions from cand""")
+QUESTIONS_SQL = f"""list_filter([
+ case when total_pii_records_exposed >= 1000 or select_pii_query_count > 0 then '이름·전화번호 등 개인정보 컬럼이 포함된 쿼리를 점검 기간 내 '
+  || {_fmt('select_pii_query_count')} || '건 실행하셨습니다. 각 조회의 구체적인 업무 목적을 설명해 주세요.' end,
+ case when max_single_query_exposure >= 5000 then '단일 쿼리에서 ' || {_fmt('max_single_query_exposure')}
+  || '건의 개인정보를 한꺼번에 조회하셨습니다. 해당 조회가 필요했던 구체적 업무를 설명하고, 결과 데이터를 어떻게 활용하셨는지 (화면 확인, 파일 저장, 외부 전송 여부) 답변해 주세요.' end,
+ case when after_hours_count > 0 then '업무 시간(08:00~19:00) 외에 개인정보를 포함한 조회가 ' || {_fmt('after_hours_count')}
+  || '건 발생하였습니다. 야간·주말 조회가 필요했던 사유와 승인 여부를 설명해 주세요.' end,
+ case when max_queries_per_day >= {d4} then '하루 최대 ' || {_fmt('max_queries_per_day')}
+  || '회의 조회가 발생하였습니다. 단시간 내 대량 조회가 발생한 상황(자동화 스크립트 사용 여부, 특정 작업 수행 여부)을 설명해 주세요.' end,
+ case when bulk_export_count > 0 then '대량 데이터 조회가 ' || {_fmt('bulk_export_count')}
+  || '건 감지되었습니다. 데이터를 파일로 내려받거나 외부 시스템으로 전송하셨다면 목적, 상대방, 현재 보관 방법을 알려주세요.' end,
+ '조회하신 개인정보를 업무 목적 외 용도로 활용하거나, 외부로 반출(출력, 다운로드, 메신저·이메일 전송 등)하신 사례가 있으신가요? 있다면 상세 내용을 기재해 주세요.'
+ ], lambda x: x is not null)"""
+
+
+@query("questions", f"{JUST_SQL} select user_id, array_to_string({QUESTIONS_SQL}, '|') as questions from cand")
 def questions(spark, sf):
-    return scored(spark, sf).select("user_id", F.size(justify.questions(R)).cast("bigint").alias("n_questions"))
+    return scored(spark, sf).select("user_id", F.array_join(justify.questions(R), "|").alias("questions"))
 
 
 # --- report tables ------------------------------------------------------------------
@@ -566,12 +581,32 @@ def _items(spark, sf):
     return justify.justification(users, found, R)
 
 
-@query("rpt_justification")
+_TENTHS = "((cast(floor(r.risk_score * 100 + 0.5) as bigint) + 5) // 10)"
+
+
+@query("rpt_justification", f"""{REASONS_SQL} select '#' || cast(r.priority_rank as varchar) || chr(10) || r.urgency as priority, r.user_id,
+ {LABEL_SQL.format('r.risk_level')} as risk_label,
+ cast({_TENTHS} // 10 as varchar) || '.' || cast({_TENTHS} % 10 as varchar) as risk_score_text,
+ coalesce(array_to_string(list_transform(s.reasons, lambda x: '• ' || x), chr(10)), '') as reasons,
+ array_to_string(list_transform(q.questions, lambda x, i: 'Q' || cast(i as varchar) || '. ' || x), chr(10)) as questions,
+ '' as explanation, '' as handling
+ from ranked r join sentences s on s.user_id = r.user_id join (select user_id, {QUESTIONS_SQL} as questions from cand) q on q.user_id = r.user_id""")
 def rpt_justification(spark, sf):
     return reports.rpt_justification(_items(spark, sf))
 
 
-@query("rpt_evidence")
+@query("rpt_evidence", f"""{JUST_SQL}{KEY_SQL[len(SUMMARY):]}, shown as (select user_id, {SCREEN_SQL} as screen_estimate from summary)
+select k.user_id, '#' || cast(r.priority_rank as varchar) as priority, {LABEL_SQL.format('k.risk_level')} as severity_kr,
+ strftime(k.ts, '%Y-%m-%d %H:%M:%S') as timestamp_str,
+ case category when 'PII_EXPOSURE' then '개인정보 노출' when 'PII_RECORD_EXPOSURE' then '단일 대량 개인정보 노출' when 'EXCESSIVE_ACCESS' then '과다조회'
+  when 'AFTER_HOURS' then '업무외시간 조회' else '대량 조회' end as category_kr,
+ case when category = 'PII_EXPOSURE' then 'PHONE' else '-' end as pii_types_str,
+ case when category = 'PII_EXPOSURE' then '010-****-' || lpad(cast(k.line_no % 10000 as varchar), 4, '0') else '' end as value,
+ case when category <> 'PII_EXPOSURE' then '' when k.exposure_type = 'FULL_EXPOSURE' then '전체컬럼 노출(SELECT*)'
+  when k.exposure_type = 'PARTIAL_EXPOSURE' then 'PII컬럼 직접 출력' when k.exposure_type = 'SEARCH_ONLY' then '검색조건만 사용' else '' end as exposure_type_kr,
+ case when category = 'PII_EXPOSURE' then coalesce(cast(k.result_row_count as varchar), '미상') else '미상' end as result_rows,
+ k.evidence, k.reference as raw_reference, cast(k.finding_rank as integer) as finding_rank, s.screen_estimate
+ from keyed k join ranked r on r.user_id = k.user_id join shown s on s.user_id = k.user_id where k.finding_rank <= 5""")
 def rpt_evidence(spark, sf):
     return reports.rpt_evidence(_items(spark, sf))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gazeledger.operators import access
 from gazeledger.plans.queries_access import BASE, ROLLING_SQL, P, alert_sql, log
-from gazeledger.plans.queries_risk import SUMMARY, audited
+from gazeledger.plans.queries_risk import LABEL_SQL, SUMMARY, audited
 from gazeledger.plans.queries_text import RAW_PHONE, RAW_PII, R, SEC
 from gazeledger.plans.registry import query
 from gazeledger.plans.views import texts, view, with_views
@@ -141,8 +141,11 @@ def daily_counts_store(spark, sf):
     return store.read_daily_counts(spark, folder).withColumn("d", F.col("d").cast("string"))
 
 
-@query("report_tables", f"{SUMMARY} select fmt, count(*) as users, cast(sum(total_events) as bigint) as events from summary, (select unnest(['csv','json','parquet']) as fmt) group by 1")
+@query("report_tables", f"""{SUMMARY} select fmt, user_id, total_events, pii_event_count, pii_types_str, peak_hour, peak_day, risk_label,
+ cast(floor(risk_score * 100 + 0.5) as bigint) as risk_score_x100 from (select *, '-' as pii_types_str, {LABEL_SQL.format('risk_level')} as risk_label from summary),
+ (select unnest(['csv','json','parquet']) as fmt)""")
 def report_tables(spark, sf):
+    """The user report in every format, row by row."""
     from gazeledger.operators.reports import rpt_users
 
     users = rpt_users(audited(spark, sf)[1])
@@ -152,8 +155,9 @@ def report_tables(spark, sf):
         store.export_reports({"users": users}, folder, fmt)
         reader = spark.read.schema(users.schema)
         back = (reader.option("header", "true") if fmt == "csv" else reader).format(fmt).load(f"{folder}/users")
-        parts.append(back.agg(F.count(F.lit(1)).alias("users"), F.sum("total_events").alias("events")).select(
-            F.lit(fmt).alias("fmt"), "users", "events"))
+        parts.append(back.select(
+            F.lit(fmt).alias("fmt"), "user_id", "total_events", "pii_event_count", "pii_types_str", "peak_hour", "peak_day", "risk_label",
+            F.floor(F.col("risk_score") * 100 + 0.5).cast("bigint").alias("risk_score_x100")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
