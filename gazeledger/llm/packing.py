@@ -28,7 +28,7 @@ from gazeledger.llm.word_ids import ChunkTable, chunk_blocks, starts_of
 SEQUENCE_TOKENS = 2048
 END_ID = 1
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, slot bigint"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, TABLE_CHUNKS, TABLE_IDS = 2 << 20, 100_000, 1_500_000  # bound what an idle worker keeps
 _LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
 _BYTES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -56,7 +56,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.table = ChunkTable(self.segment)
+        self.table = ChunkTable(self.segment, TABLE_CHUNKS, TABLE_IDS)
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
