@@ -74,12 +74,13 @@ NUMBER_SHAPES = (
 )
 
 # Keywords that let a line into the scan.
-TRIGGER_KEYWORDS = (
-    "select query insert update where name phone 이름 전화 주민 계좌 주소 address ssn rrn birth 생년 "
-    "고객 customer account acct card email passport 여권 사원번호 empno cust member 회원 개인 personal "
-    "ip addr client remote src_ip 접속 사번 staff emp_id emp_no employee 연락처 성명 담당자 사용자 접속자 "
-    "수검자 직원 사원 userid user_id jumin resno rno 주민번호"
-).split()
+TRIGGER_KEYWORDS = [
+    "select", "query", "insert", "update", "where", "name", "phone", "이름", "전화", "주민", "계좌", "주소", "address",
+    "ssn", "rrn", "birth", "생년", "고객", "customer", "account", "acct", "card", "email", "passport", "여권", "사원번호",
+    "empno", "cust", "member", "회원", "개인", "personal", "ip", "addr", "client", "remote", "src_ip", "접속", "사번",
+    "staff", "emp_id", "emp_no", "employee", "연락처", "성명", "담당자", "사용자", "접속자", "수검자", "직원", "사원", "userid",
+    "user_id", "jumin", "resno", "rno", "주민번호",
+]
 
 # Surnames a name must start with, office suffixes it must not end with.
 SURNAMES = (
@@ -229,23 +230,20 @@ ROW_COUNT_PATTERNS = [
 ]
 
 # Column-name keywords of personal data.
-PII_COLUMN_KEYWORDS = (
-    "주민번호 주민등록번호 rrn ssn resident jumin rno "
-    "이름 성명 고객명 cust_name customer_name name 성함 nm "
-    "전화 전화번호 phone mobile tel 휴대폰 휴대전화 cellphone hp_no cell_no phone_no tel_no "
-    "주소 address addr 거주지 home_addr road_addr "
-    "email 이메일 mail e_mail "
-    "계좌 계좌번호 account_no bankno bank_no card 카드번호 신용카드 card_no credit "
-    "생년월일 생년 birthday birth_date birthdate dob birth "
-    "여권 여권번호 passport "
-    "사원번호 사번 emp_id employee_id empno staff_id staff_no"
-).split()
+PII_COLUMN_KEYWORDS = [
+    "주민번호", "주민등록번호", "rrn", "ssn", "resident", "jumin", "rno", "이름", "성명", "고객명", "cust_name", "customer_name",
+    "name", "성함", "nm", "전화", "전화번호", "phone", "mobile", "tel", "휴대폰", "휴대전화", "cellphone", "hp_no", "cell_no",
+    "phone_no", "tel_no", "주소", "address", "addr", "거주지", "home_addr", "road_addr", "email", "이메일", "mail",
+    "e_mail", "계좌", "계좌번호", "account_no", "bankno", "bank_no", "card", "카드번호", "신용카드", "card_no", "credit",
+    "생년월일", "생년", "birthday", "birth_date", "birthdate", "dob", "birth", "여권", "여권번호", "passport", "사원번호", "사번",
+    "emp_id", "employee_id", "empno", "staff_id", "staff_no",
+]
 
 # Tables whose star select counts as wide exposure.
-SENSITIVE_TABLES = (
-    "customers members personal_info personal 고객 회원 개인정보 cust member employee 사원 직원 "
-    "accounts user_info"
-).split()
+SENSITIVE_TABLES = [
+    "customers", "members", "personal_info", "personal", "고객", "회원", "개인정보", "cust", "member", "employee", "사원",
+    "직원", "accounts", "user_info",
+]
 
 # ---------------------------------------------------------------------------
 # Ordered levels, categories and display labels.
