@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -9,9 +10,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr picture q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split())
+# formulas are text of their block
+FORMULA = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover "
+    "munderover mmultiscripts mprescripts none mtable mtr mtd semantics".split())
+# what stands inside these is shown where the medium is not; it is text like any other
+MEDIA = frozenset("audio canvas object video".split())
+CONTROLS = frozenset("button datalist select".split())
 # elements without text of their own; an unclosed one of the first group hides the rest of the page
 RAW = frozenset("script style title textarea".split())
-SKIPPED = RAW | frozenset("template noscript iframe svg math object select button canvas audio video datalist".split())
+SKIPPED = RAW | CONTROLS | frozenset("template noscript iframe svg annotation annotation-xml".split())
 ENDS_ITEM = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
@@ -40,6 +48,8 @@ class Page:
         self.links: list[int] = [0]
         self.fields: list[int] = [0]
         self._open = [0]
+        self._depths: dict[str, list[int]] = {}  # of the open elements with a name, from the root down
+        self._never_closed: set[str] = set()
         self._run: list[str] = []
         self._linked = 0
         self._link_at: int | None = None
@@ -66,10 +76,23 @@ class Page:
                 self._linked += len(piece)
 
     def _shut(self, depth: int) -> None:
+        for node in self._open[depth:]:
+            self._depths[self.tag[node]].pop()
         del self._open[depth:]
         if self._link_at is not None and len(self._open) < self._link_at:
             self._link_at = None
 
+    def _end_items(self, ended: set[str], bound: set[str]) -> None:
+        """Close the outermost open element with a name in ``ended`` above the last one with a name in ``bound``."""
+        last = max((self._depths[name][-1] for name in bound if self._depths.get(name)), default=0)
+        above = []
+        for name in ended:
+            depths = self._depths.get(name, [])
+            at = bisect.bisect_right(depths, last)
+            above += depths[at : at + 1]
+        if above:
+            self._shut(min(above))
+
     def _read(self, source: str) -> None:
         at = 0
         while True:
@@ -86,11 +109,21 @@ class Page:
                 if closing:
                     continue
                 self.fields[self._open[-1]] += name not in RAW
-                end = _CLOSE[name].search(source, at)
-                if end or name in RAW:
-                    at = end.end() if end else len(source)
+                if name in CONTROLS:
+                    self._run.append(" ")
+                end = None if name in self._never_closed else _CLOSE[name].search(source, at)
+                if end:
+                    at = end.end()
+                elif name in RAW:
+                    at = len(source)
+                else:  # its content stands in the page like any other; one search tells for all that follow
+                    self._never_closed.add(name)
+                continue
+            if name in MEDIA:
+                self._run.append(" ")
+                self.fields[self._open[-1]] += not closing
                 continue
-            if name in INLINE or name in VOID:
+            if name in INLINE or name in VOID or name in FORMULA:
                 if name == "br":
                     self._run.append(" ")
                 elif name == "hr":
@@ -102,23 +135,15 @@ class Page:
                 continue
             self._flush()
             if closing:
-                for depth in range(len(self._open) - 1, 0, -1):
-                    if self.tag[self._open[depth]] == name:
-                        self._shut(depth)
-                        break
+                if self._depths.get(name):
+                    self._shut(self._depths[name][-1])
                 continue
             if name in ("html", "body"):
                 continue
             if self.tag[self._open[-1]] == "p":
                 self._shut(len(self._open) - 1)
             if name in ENDS_ITEM:
-                ended, bound = ENDS_ITEM[name]
-                for depth in range(len(self._open) - 1, 0, -1):
-                    tag = self.tag[self._open[depth]]
-                    if tag in bound:
-                        break
-                    if tag in ended:
-                        self._shut(depth)
+                self._end_items(*ENDS_ITEM[name])
             tokens, hidden = [], False
             if rest and rest != "/":
                 for a in _ATTRIBUTE.finditer(rest):
@@ -129,6 +154,7 @@ class Page:
                         hidden |= "display:none" in value.replace(" ", "").lower()
                     elif kind != "aria-hidden":
                         tokens += [t.lower() for t in _TOKEN.findall(value)]
+            self._depths.setdefault(name, []).append(len(self._open))
             self._open.append(self._add(name, tokens, hidden))
         self._text(source[at:])
         self._flush()

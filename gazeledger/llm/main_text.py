@@ -7,7 +7,9 @@ text. Decoding maximises the sum of these log-odds over the page under one rule:
 so an ancestor and its descendants never contradict each other. Kept runs of text are the blocks.
 
 Character references are decoded, white space (line breaks too) becomes one space, blocks are joined by an empty line in
-page order. NULL and empty pages, and pages without main text, give the empty text. Pages of any length are read whole.
+page order. Formulas and the text inside media elements belong to their block; form controls, scripts, styles, drawings and
+what browsers never show (templates, frames, annotations of formulas) have no text. NULL and empty pages, and pages without main text, give the empty text. Pages of any length are read whole,
+in time in proportion to their length.
 Repeated rows and rows with NULL ids give one row each. Only the named columns are read.
 """
 

@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -68,3 +69,68 @@ def test_edge_cases(spark, model):
     assert by[4] == "A <b> é\n\nOne two, three four five six seven. Eight nine."
     assert by[5].count("\n\n") == 29_999
     assert main_text.main_text(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize(("inside", "text"), [
+    ("two <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> end", "two x=12 end"),
+    ("one<button>B</button>two", "one two"),
+    ("see <video><source src=a>no player here</video> now", "see no player here now"),
+    ("a <object>drawn <b>by</b> hand</object> b", "a drawn by hand b"),
+    ("a<svg><text>no</text></svg>b", "ab"),
+    ("open <svg> stays", "open stays"),
+])
+def test_no_text_of_a_block_is_lost(inside, text):
+    assert [t for t in Page(f"<article><p>{inside}</p></article>").text if t] == [text]
+
+
+def closes_by_walking(source):
+    """The open elements at every text, by a plain walk over the stack."""
+    from gazeledger.llm.html_dom import ENDS_ITEM
+
+    stack, seen = [], []
+    for closing, name, text in re.findall(r"<(/?)(\w+)>|([^<]+)", source):
+        if text:
+            seen.append([*stack])
+        elif closing:
+            if name in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(name):]
+        else:
+            if stack and stack[-1] == "p":
+                stack.pop()
+            ended, bound = ENDS_ITEM.get(name, ((), ()))
+            if ended:
+                for at in range(len(stack) - 1, -1, -1):
+                    if stack[at] in bound:
+                        break
+                    if stack[at] in ended:
+                        del stack[at:]
+            stack.append(name)
+    return seen
+
+
+def test_nesting_equals_a_plain_walk():
+    rng = random.Random(5)
+    for _ in range(400):
+        parts = [rng.choice(["<{}>", "<{}>", "</{}>", "t"]).format(rng.choice("p div ul li table tr td th dl dt dd tbody".split())) for _ in range(40)]
+        source = re.sub("t(?=t)", "", "".join(f"{p} " if p == "t" else p for p in parts)).replace("t t ", "t ")
+        page, got = Page(source), []
+        for i, text in enumerate(page.text):
+            if text:
+                above, at = [], page.parent[i]
+                while at > 0:
+                    above.append(page.tag[at])
+                    at = page.parent[at]
+                got.append(above[::-1])
+        want = closes_by_walking(source)
+        # neighbouring runs of text without a boundary between them are one leaf
+        assert [k for k, _ in itertools.groupby(got)] == [k for k, _ in itertools.groupby(want)]
+
+
+@pytest.mark.parametrize("source", [
+    "<svg>x" * 60_000, "<div>" * 40_000 + "</b></ul>" * 40_000, "<div>" * 40_000 + "<li>x" * 40_000, "<td><div>" * 40_000,
+    "<button>" * 60_000, "<p>" * 80_000, "<iframe a='" * 50_000,
+])
+def test_reading_takes_linear_time(source):
+    start = time.process_time()
+    Page(source)
+    assert time.process_time() - start < 5
