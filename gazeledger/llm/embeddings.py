@@ -1,15 +1,18 @@
 """Embedding near-duplicates (operator 8): a navigable small-world graph per shard, every vector asked of every shard.
 
 1. Equal vectors become one, with a weight, so copies of any number cost one query.
-2. Distinct vectors are dealt into shards by a hash (at least ``SHARDS``, of about ``SHARD_ROWS`` at most); each shard's
+2. Distinct vectors are dealt into shards by a hash (at least ``SHARDS``, of about ``SHARD_VALUES`` components at most); each shard's
    graph is built by one task and written to the shared folder. The task also asks ``AUDIT_QUERIES`` made-up vectors, each
    a member turned by a random angle within the bound; none is in the graph and each has a true link. The shard's first
    beam doubles until ``RECALL`` of them find all links that exact products find, whatever the number of shards.
-3. Blocks of queries meet each shard's graph in one group. A query whose beam holds links to its end is asked again with
-   a wider one. In every block and shard an audit compares every ``AUDIT``-th query with exact products over the shard; if
-   it misses a link, the beam doubles for the whole block, up to exact products over the shard.
-4. What the search finds is verified by cosines in double precision. A group returns the number of links per query and,
-   per connected part of its links, one star, never the links themselves; components are united over all groups.
+3. Two shards (or one with itself) meet in one group, and each asks the other's graph, in blocks. A query whose beam holds
+   links to its end is asked again with a wider one; beyond ``WIDEST``, or a quarter of the shard, exact products cost less.
+   In every block an audit compares every ``AUDIT``-th query with exact products; if it misses a link, the beam doubles for
+   the whole block.
+4. What the search finds is verified by cosines in double precision. A link that either end's search finds counts at both
+   ends, once. Queries of exact products are walked in slices, so a crowd of near copies that fills a shard needs no list of
+   its pairs. A group returns the number of links per vector and, per connected part of its links, one star, never the links
+   themselves; components are united over all groups.
 
 Vectors that are NULL, empty, zero or hold NULL or non-finite components link with nothing; so do rows with a NULL id,
 whose component is NULL. Vectors of different length never link. Rows that repeat an id and a vector count once; an id
@@ -19,6 +22,9 @@ are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,31 +34,60 @@ from gazeledger.llm.common import materialise
 from gazeledger.llm.components import components
 from gazeledger.llm.hnsw import LINKS, TOP_LINKS, Graph
 
-SHARDS, SHARD_ROWS = 8, 50_000
+SHARDS, SHARD_VALUES = 8, 3_200_000  # 50 000 vectors of 64 components
 QUERY_ROWS = 4096
-BEAM = 24
+BEAM, WIDEST = 24, 192
 AUDIT = 64
 AUDIT_QUERIES, RECALL = 1024, 0.998
 SLACK = 1e-4  # of single precision
-INDEX = "shard bigint, ids binary, hashes binary, weights binary, vectors binary, layers array<binary>, beam bigint"
+PAIR_TASKS = 20_000
+SLICE = 2**21  # products of a slice
+INDEX = "shard bigint, ids binary, hashes binary, weights binary, vectors binary, width int, layers array<binary>, beam bigint"
 FOUND = "a bigint, h bigint, links bigint, b bigint"
 
 
+@dataclass
+class Shard:
+    ids: np.ndarray
+    hashes: np.ndarray
+    weights: np.ndarray
+    exact: np.ndarray
+    graph: Graph
+    beam: int
+
+
 def build_shard(key: tuple, rows: pa.Table, least: float) -> pa.Table:
-    """The shard's members in the graph's order, vectors as doubles of unit length, the graph's layers and its first beam."""
+    """The shard's members in the graph's order, their vectors (in the narrowest form that keeps them), the graph's layers
+    and its first beam."""
     order = Graph.order(rows.num_rows)
     ids, hashes, weights = (rows.column(c).to_numpy()[order] for c in ("rep", "h", "weight"))
-    exact = unit(rows.column("v"))[order]
+    given = matrix(rows.column("v"))[order]
+    exact = unit(given)
+    with np.errstate(over="ignore"):
+        narrow = given.astype(np.float32)
+    stored = narrow if np.array_equal(narrow.astype(np.float64), given) else given
     graph = Graph.build(exact.astype(np.float32))
     return pa.table({
-        "shard": [key[0].as_py()], "ids": [ids.tobytes()], "hashes": [hashes.tobytes()], "weights": [weights.tobytes()], "vectors": [exact.tobytes()],
+        "shard": [key[0].as_py()], "ids": [ids.tobytes()], "hashes": [hashes.tobytes()], "weights": [weights.tobytes()],
+        "vectors": [stored.tobytes()], "width": pa.array([stored.itemsize], pa.int32()),
         "layers": pa.array([[x.tobytes() for x in graph.layers]], pa.list_(pa.binary())),
         "beam": [audited_beam(graph, exact, least)[0]]})
 
 
-def unit(column: pa.ChunkedArray) -> np.ndarray:
+def open_shard(row: dict) -> Shard:
+    ids, hashes, weights = (np.frombuffer(row[c], np.int64) for c in ("ids", "hashes", "weights"))
+    stored = np.frombuffer(row["vectors"], np.float32 if row["width"] == 4 else np.float64)
+    exact = unit(stored.reshape(len(ids), -1).astype(np.float64))
+    layers = [np.frombuffer(x, np.int32).reshape(-1, LINKS if n == 0 else TOP_LINKS) for n, x in enumerate(row["layers"])]
+    return Shard(ids, hashes, weights, exact, Graph(exact.astype(np.float32), layers), row["beam"])
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
-    rows = column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
+    return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
     rows = rows / np.abs(rows).max(1, keepdims=True)  # so that squares neither vanish nor overflow
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
@@ -72,13 +107,14 @@ def made_up(exact: np.ndarray, least: float, count: int) -> np.ndarray:
 def audited_beam(graph: Graph, exact: np.ndarray, least: float, beam: int = BEAM) -> tuple[int, float]:
     """The first beam, and the share of made-up queries that find all their links with it."""
     asked = made_up(exact, least, AUDIT_QUERIES).astype(np.float32)
-    while 4 * beam < len(exact):
+    while beams(beam, len(exact)):
         missed = 0
         for lo in range(0, len(asked), 64):
             some = asked[lo : lo + 64]
             lost = some @ graph.vectors.T >= least + SLACK
-            q, m = asked_links(graph, some, least, beam)
+            q, m, rest = asked_links(graph, some, least, beam)
             lost[q, m] = False
+            lost[rest] = False
             missed += int(lost.any(1).sum())
         if missed <= (1 - RECALL) * len(asked):
             return beam, 1 - missed / len(asked)
@@ -86,72 +122,123 @@ def audited_beam(graph: Graph, exact: np.ndarray, least: float, beam: int = BEAM
     return beam, 1.0
 
 
-def asked_links(graph: Graph, asked: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Query and member numbers of the pairs found from this beam on, in single precision and with ``SLACK``."""
-    size = len(graph.vectors)
+def beams(beam: int, size: int) -> bool:
+    """Whether a search with this beam costs less than exact products over ``size`` members."""
+    return beam <= WIDEST and 4 * beam < size
+
+
+def asked_links(graph: Graph, asked: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query and member numbers of the pairs found from this beam on, in single precision and with ``SLACK``, and the
+    queries that have more links than beams hold."""
     pairs_q, pairs_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     waiting, own = np.arange(len(asked)), beam
-    while len(waiting):
-        if 4 * own >= size:  # such a beam opens most of the graph; exact products cost less
-            for lo in range(0, len(waiting), 256):
-                some = waiting[lo : lo + 256]
-                q, m = np.nonzero(asked[some] @ graph.vectors.T >= least - SLACK)
-                pairs_q.append(some[q])
-                pairs_m.append(m)
-            break
+    while len(waiting) and beams(own, len(graph.vectors)):
         ids, near = graph.search(asked[waiting], own)
         full = near[:, -1] >= least - SLACK
         q, c = np.nonzero((near >= least - SLACK) & ~full[:, None])
         pairs_q.append(waiting[q])
         pairs_m.append(ids[q, c])
         waiting, own = waiting[full], 2 * own
-    return np.concatenate(pairs_q), np.concatenate(pairs_m)
+    return np.concatenate(pairs_q), np.concatenate(pairs_m), waiting
 
 
-def found_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Query and member numbers of all pairs found with a cosine of at least ``least``; beams widen until audits pass."""
+def reach(a: np.ndarray, b: np.ndarray, q: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows have a cosine of at least ``least``; the same whichever row comes first."""
+    parts = [np.einsum("ij,ij->i", a[q[lo : lo + 65536]], b[m[lo : lo + 65536]]) >= least for lo in range(0, len(q), 65536)]
+    return np.concatenate([np.zeros(0, bool), *parts])
+
+
+def block_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Verified pairs of a block of queries, and its queries that need exact products; beams widen until the audit passes."""
     asked = queries.astype(np.float32)
-    audit = np.arange(0, len(queries), AUDIT)
-    truth = (asked[audit] @ graph.vectors.T) >= least + SLACK
+    truth = (asked[::AUDIT] @ graph.vectors.T) >= least + SLACK
     while True:
-        q, m = asked_links(graph, asked, least, beam)
+        q, m, rest = asked_links(graph, asked, least, beam)
         seen = np.zeros(truth.shape, bool)
         mine = q % AUDIT == 0
         seen[q[mine] // AUDIT, m[mine]] = True
-        if not (truth & ~seen).any() or 4 * beam >= len(exact):
+        seen[rest[rest % AUDIT == 0] // AUDIT] = True
+        if not (truth & ~seen).any():
             break
         beam *= 2
-    good = np.concatenate([np.zeros(0, bool), *(
-        np.einsum("ij,ij->i", queries[q[lo : lo + 65536]], exact[m[lo : lo + 65536]]) >= least for lo in range(0, len(q), 65536))])
-    return q[good], m[good]
+    good = reach(queries, exact, q, m, least)
+    return q[good], m[good], rest
 
 
-def ask_shard(key: tuple, index: pa.Table, queries: pa.Table, least: float) -> pa.Table:
-    empty = pa.table({c.split()[0]: pa.array([], pa.int64()) for c in FOUND.split(", ")})
-    if not index.num_rows or not queries.num_rows:
-        return empty
-    row = index.to_pylist()[0]
-    ids, hashes, weights = (np.frombuffer(row[c], np.int64) for c in ("ids", "hashes", "weights"))
-    exact = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
-    layers = [np.frombuffer(x, np.int32).reshape(-1, LINKS if n == 0 else TOP_LINKS) for n, x in enumerate(row["layers"])]
-    own_ids, own_hashes = queries.column("rep").to_numpy(), queries.column("h").to_numpy()
-    q, m = found_links(Graph(exact.astype(np.float32), layers), exact, unit(queries.column("v")), least, row["beam"])
-    other = (own_ids[q] != ids[m]) | (own_hashes[q] != hashes[m])
-    q, m = q[other], m[other]
-    if not len(q):
-        return empty
-    links = np.bincount(q, weights[m], len(own_ids)).astype(np.int64)
-    label_q, label_m = own_ids.copy(), ids.copy()
-    while True:  # the least id of each connected part
-        before = label_q.copy(), label_m.copy()
-        np.minimum.at(label_m, m, label_q[q])
-        np.minimum.at(label_q, q, label_m[m])
-        if np.array_equal(before[0], label_q) and np.array_equal(before[1], label_m):
-            break
-    asked, members = np.unique(q), np.unique(m)
-    return pa.table({
-        "a": np.concatenate([own_ids[asked], ids[members]]), "h": np.concatenate([own_hashes[asked], hashes[members]]),
-        "links": np.concatenate([links[asked], np.zeros(len(members), np.int64)]), "b": np.concatenate([label_q[asked], label_m[members]])})
+def exact_links(exact: np.ndarray, queries: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs, in slices of queries: products in single precision, those near the bound in double precision."""
+    members = exact.astype(np.float32)
+    step = max(1, SLICE // max(len(exact), 1))
+    for lo in range(0, len(queries), step):
+        some = queries[lo : lo + step]
+        near = some.astype(np.float32) @ members.T
+        linked = near >= least + SLACK
+        q, m = np.nonzero((near >= least - SLACK) & ~linked)
+        linked[q, m] = reach(some, exact, q, m, least)
+        q, m = np.nonzero(linked)
+        yield q + lo, m
+
+
+def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of nodes after the parts of ``a`` and ``b`` have become one, pair by pair."""
+    a, b = label[a], label[b]
+    apart = a != b
+    a, b = a[apart], b[apart]
+    root = np.arange(len(label))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return root[label]
+
+
+def shard_links(left: Shard, right: Shard, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (weights added) and component of every member: those of ``left``, then, if it is another, those of ``right``."""
+    alone = left is right
+    sizes = [len(left.ids), len(right.ids)]
+    weights = left.weights if alone else np.concatenate([left.weights, right.weights])
+    links, label = np.zeros(len(weights), np.int64), np.arange(len(weights))
+    sides = [(left, right, 0, 0)] if alone else [(left, right, 0, sizes[0]), (right, left, sizes[0], 0)]
+    whole = np.zeros(len(weights), bool)  # members whose links exact products tell
+    codes = [np.zeros(0, np.int64)]
+    for asking, asked, first, other in sides:
+        for lo in range(0, len(asking.ids), QUERY_ROWS):
+            q, m, rest = block_links(asked.graph, asked.exact, asking.exact[lo : lo + QUERY_ROWS], least, asked.beam)
+            a, b = q + lo + first, m + other
+            codes.append(np.minimum(a, b) * len(weights) + np.maximum(a, b))
+            whole[rest + lo + first] = True
+    a, b = np.divmod(np.unique(np.concatenate(codes)), max(len(weights), 1))
+    sparse = (a != b) & ~whole[a] & ~whole[b]
+    a, b = a[sparse], b[sparse]
+    np.add.at(links, a, weights[b])
+    np.add.at(links, b, weights[a])
+    label = united(label, a, b)
+    for asking, asked, first, other in sides:
+        rest = np.nonzero(whole[first : first + len(asking.ids)])[0]
+        for q, m in exact_links(asked.exact, asking.exact[rest], least):
+            a, b = rest[q] + first, m + other
+            a, b = a[a != b], b[a != b]
+            np.add.at(links, a, weights[b])
+            outer = ~whole[b]  # the others count this link themselves
+            np.add.at(links, b[outer], weights[a[outer]])
+            label = united(label, a, b)
+    return links, label
+
+
+def ask_shards(index: pa.Table, lo: int, hi: int, least: float) -> pa.Table:
+    opened = {row["shard"]: open_shard(row) for row in index.to_pylist()}
+    if lo not in opened or hi not in opened:
+        return pa.table({c.split()[0]: pa.array([], pa.int64()) for c in FOUND.split(", ")})
+    parts = [opened[lo]] if lo == hi else [opened[lo], opened[hi]]
+    links, label = shard_links(parts[0], parts[-1], least)
+    ids, hashes = (np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "hashes"))
+    least_id = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least_id, label, ids)
+    some = links > 0
+    return pa.table({"a": ids[some], "h": hashes[some], "links": links[some], "b": least_id[label[some]]})
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -161,8 +248,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     usable = own.where("vec_id is not null and v is not null").where(finite)
     classes = usable.distinct().groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = materialise(classes.withColumn("h", F.xxhash64("v")), "vectors")
-    count = classes.count()
-    shards, blocks = max(SHARDS, -(-count // SHARD_ROWS)), max(1, -(-count // QUERY_ROWS))
+    values = classes.agg(F.sum(F.size("v").cast("bigint"))).first()[0] or 0
+    shards = max(SHARDS, -(-values // SHARD_VALUES))
     length = F.size("v").cast("bigint") * shards  # vectors of one length share shards
     dealt = classes.withColumn("shard", length + F.pmod(F.xxhash64("h", F.lit(1)), F.lit(shards)))
 
@@ -170,14 +257,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
         return build_shard(key, rows, least)
 
     index = materialise(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(build, INDEX), "graphs")
-    every = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = classes.withColumn("block", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.size("v").cast("bigint") * shards + s)))
+    first = F.col("shard") - F.pmod("shard", F.lit(shards))
+    pairs = index.withColumn("other", F.explode(F.sequence(first, first + (shards - 1)))).withColumns({
+        "lo": F.least("shard", "other"), "hi": F.greatest("shard", "other")})
 
-    def ask(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return ask_shard(key, left, right, least)
+    def ask(key: tuple, rows: pa.Table) -> pa.Table:
+        return ask_shards(rows, key[0].as_py(), key[1].as_py(), least)
 
-    found = materialise(every.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(ask, FOUND), "found")
+    groups = min(shards * (shards + 1) // 2, PAIR_TASKS)
+    found = materialise(
+        pairs.repartition(groups, "lo", "hi").groupBy("lo", "hi").applyInArrow(ask, FOUND), "found")
     links = found.groupBy(F.col("a").alias("rep"), "h").agg(F.sum("links").alias("links"))
     members = materialise(usable.distinct().join(classes, "v").select("vec_id", "h", "rep", "weight"), "members")
     split = members.groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("vec_id")

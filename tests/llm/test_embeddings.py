@@ -42,6 +42,58 @@ def check(spark, rows):
     assert all(r["kept"] == (r["vec_id"] is None or r["vec_id"] == r["component_id"]) for r in got)
 
 
+def found_links(graph, exact, queries, least, beam=embeddings.BEAM):
+    q, m, rest = embeddings.block_links(graph, exact, queries, least, beam)
+    whole = [(rest[a], b) for a, b in embeddings.exact_links(exact, queries[rest], least)]
+    return np.concatenate([q, *(a for a, _ in whole)]), np.concatenate([m, *(b for _, b in whole)])
+
+
+def shard(x, first=0):
+    x = x[Graph.order(len(x))]
+    n = np.arange(first, first + len(x))
+    return embeddings.Shard(n, n, 1 + n % 3, x, Graph.build(x.astype(np.float32)), embeddings.BEAM)
+
+
+def test_links_count_at_both_ends_whichever_finds_them():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(5000, 16))
+    x[:1500] = x[0] + 0.05 * rng.normal(size=(1500, 16))  # a crowd: exact products at either end
+    x[1500:2500] = x[1500 + np.arange(1000) // 5 * 5] + 0.08 * rng.normal(size=(1000, 16))
+    x = embeddings.unit(x)[rng.permutation(5000)]
+    for left, right in ((shard(x), None), (shard(x[:2000]), shard(x[2000:], 2000))):
+        links, label = embeddings.shard_links(left, right or left, 0.9)
+        parts = [left] if right is None else [left, right]
+        vectors, weights = np.concatenate([p.exact for p in parts]), np.concatenate([p.weights for p in parts])
+        near = vectors @ vectors.T >= 0.9
+        if right is not None:  # only links between the two
+            near[:2000, :2000] = near[2000:, 2000:] = False
+        np.fill_diagonal(near, False)
+        assert np.array_equal(links, near @ weights)
+        for a, b in np.argwhere(near)[::97]:
+            assert label[a] == label[b]
+
+
+def test_one_end_that_finds_nothing_takes_the_links_of_the_other():
+    rng = np.random.default_rng(12)
+    a = embeddings.unit(rng.normal(size=(2000, 32)))
+    b = embeddings.unit(a + 0.05 * rng.normal(size=a.shape))
+    left, right = shard(a), shard(b, 2000)
+    real = embeddings.block_links
+
+    def one_sided(graph, exact, queries, least, beam):
+        q, m, rest = real(graph, exact, queries, least, beam)
+        return (q[:0], m[:0], rest) if graph is left.graph else (q, m, rest)
+
+    embeddings.block_links = one_sided
+    try:
+        links, _ = embeddings.shard_links(left, right, 0.9)
+    finally:
+        embeddings.block_links = real
+    near = left.exact @ right.exact.T >= 0.9
+    assert near.sum() > 1900
+    assert np.array_equal(links, np.concatenate([near @ right.weights, near.T @ left.weights]))
+
+
 def test_links_match_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []
@@ -68,7 +120,7 @@ def test_graph_recall():
     ids, _ = graph.search(x[::20].astype(np.float32), 64)
     recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids[:, :10], truth, strict=True)])
     assert recall > 0.9
-    q, m = embeddings.found_links(graph, x, x[::20], 0.9)
+    q, m = found_links(graph, x, x[::20], 0.9)
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(near >= 0.9), strict=True)}
     assert {(int(a), int(b)) for a, b in zip(q, m, strict=True)} <= want
     assert len(q) >= 0.99 * len(want)
@@ -85,7 +137,7 @@ def test_audit_has_links_where_queries_have_few():
     true = {(int(a), int(b)) for a, b in zip(*np.nonzero(queries @ x.T >= 0.9), strict=True)}
 
     def share(beam):
-        found = {(int(a), int(b)) for a, b in zip(*embeddings.found_links(graph, x, queries, 0.9, beam), strict=True)}
+        found = {(int(a), int(b)) for a, b in zip(*found_links(graph, x, queries, 0.9, beam), strict=True)}
         assert found <= true
         return len(found) / len(true)
 
