@@ -191,10 +191,10 @@ def _stream_alert_sql() -> str:
 
 @query("stream_alerts", _stream_alert_sql())
 def stream_alerts(spark, sf):
-    found = run_available(alerts.stream_alerts(_stream(log(spark, sf), "events"), P))
+    found = alerts.stream_alerts(_stream(log(spark, sf), "events"), P)
     return found.select(
-        "user_id", "kind", "category", "severity", "ts_us",
-        F.concat_ws(":", "source_file", F.col("line_no").cast("string")).alias("reference"))
+        "user_id", "kind", "category", "severity", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        F.col("raw_reference").alias("reference"))
 
 
 @query("stream_pii_findings", f"""select 'pg.log:' || cast(event_id as varchar) as raw_reference, 'u' || cast(user_id as varchar) as user_id,

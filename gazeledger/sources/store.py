@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeledger.operators.history import merge_daily_counts, snapshot_meta, snapshot_users
 from gazeledger.params import AuditParams
+from gazeledger.session import materialise
 
 META_SCHEMA = (
     "run_id string, period_days int, saved_at timestamp_ntz, total_events bigint, total_lines bigint, "
@@ -58,27 +59,73 @@ def read_snapshot_users(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, f"{folder}/snapshot_user", USER_SCHEMA)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+# Runs whose daily counts stay readable by those that still use them.
+GRACE_RUNS = 3
+
+
+def _complete(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the runs whose list of days was written to its end."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run=*/_SUCCESS")
     fs = glob.getFileSystem(spark._jsc.hadoopConfiguration())
     return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in fs.globStatus(glob) or [])
 
 
+def _days(spark: SparkSession, path: str, run: int) -> dict[date, int]:
+    """The run that wrote each day's counts, as a run's list tells; at most the retained days."""
+    rows = spark.read.schema("d date, written bigint").parquet(f"{path}/lists/run={run}").collect()
+    return {r["d"]: r["written"] for r in rows}
+
+
+def _read_days(spark: SparkSession, path: str, days: dict[date, int]) -> DataFrame:
+    if not days:
+        return spark.createDataFrame([], COUNT_SCHEMA)
+    parts = [f"{path}/counts/run={run}/d={d}" for d, run in sorted(days.items())]
+    return spark.read.schema("user_id string, cnt bigint, run bigint, d date").option("basePath", f"{path}/counts").parquet(
+        *parts).select("user_id", "d", "cnt")
+
+
 def read_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest complete version of the daily counts."""
+    """The daily counts of the newest complete run."""
     path = f"{folder}/daily_counts"
-    versions = _versions(spark, path)
-    if not versions:
-        return spark.createDataFrame([], COUNT_SCHEMA)
-    return spark.read.schema(COUNT_SCHEMA).parquet(f"{path}/version={versions[-1]}")
+    runs = _complete(spark, f"{path}/lists")
+    return _read_days(spark, path, _days(spark, path, runs[-1]) if runs else {})
 
 
 def save_daily_counts(current: DataFrame, folder: str, today: date, params: AuditParams) -> None:
-    """Merge into a new version; a failed write leaves the old one in place."""
+    """Merge into the stored counts: only the days that ``current`` holds are written, each as a partition of this run.
+
+    A run's list names the run that wrote each day; it is written last and makes the run visible at once, so that a failed
+    write leaves the old counts in place. Days past the retention leave the list; what the last ``GRACE_RUNS`` lists do not
+    name is deleted.
+    """
     spark = current.sparkSession
-    versions = _versions(spark, f"{folder}/daily_counts")
-    merged = merge_daily_counts(read_daily_counts(spark, folder), current, today, params)
-    merged.write.mode("overwrite").parquet(f"{folder}/daily_counts/version={(versions or [0])[-1] + 1}")
+    path = f"{folder}/daily_counts"
+    runs = _complete(spark, f"{path}/lists")
+    old = _days(spark, path, runs[-1]) if runs else {}
+    run = (runs or [0])[-1] + 1
+    first = today - timedelta(params.retention_days)
+    current = materialise(current.where(F.col("d") >= F.lit(first)).select("user_id", "d", "cnt"), "daily-counts")
+    touched = {r["d"] for r in current.select("d").distinct().collect()}
+    before = _read_days(spark, path, {d: r for d, r in old.items() if d in touched})
+    merged = merge_daily_counts(before, current, today, params)
+    merged.repartition("d", F.pmod(F.xxhash64("user_id"), F.lit(8))).write.mode("overwrite").partitionBy("d").parquet(
+        f"{path}/counts/run={run}")
+    days = {d: r for d, r in old.items() if d >= first} | dict.fromkeys(touched, run)
+    spark.createDataFrame(sorted(days.items()), "d date, written bigint").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/lists/run={run}")
+    _drop_unlisted(spark, path, [*runs, run])
+
+
+def _drop_unlisted(spark: SparkSession, path: str, runs: list[int]) -> None:
+    named = {item for run in runs[-GRACE_RUNS:] for item in _days(spark, path, run).items()}
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    fs = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for run in runs[:-GRACE_RUNS]:
+        fs.delete(paths(f"{path}/lists/run={run}"), True)
+    for status in fs.globStatus(paths(f"{path}/counts/run=*/d=*")) or []:
+        run, day = (part.split("=")[1] for part in status.getPath().toString().split("/")[-2:])
+        if int(run) <= runs[-1] and (date.fromisoformat(day), int(run)) not in named:
+            fs.delete(status.getPath(), True)
 
 
 def export_reports(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gazeledger.operators import access, exposure, parse, pii
 from gazeledger.params import AuditParams
-
-_HOUR_US = 3_600_000_000
-_DAY_US = 24 * _HOUR_US
-
-ALERT_SCHEMA = (
-    "user_id string, kind string, category string, severity string, ts_us bigint, source_file string, "
-    "line_no bigint, count bigint"
-)
-_STATE_SCHEMA = "n bigint, after bigint, bulk bigint, targets array<string>, recent array<bigint>, hours array<int>"
+from gazeledger.streaming.runner import run_by_day
 
 
 def stream_daily_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -46,89 +35,17 @@ def stream_alert_dedup(findings: DataFrame, delay: str = "2 days") -> DataFrame:
     return keyed.withWatermark("_at", delay).dropDuplicatesWithinWatermark(["alert_key"]).drop("_at")
 
 
-def _day_alerts(params: AuditParams):
-    """State function of one (user, day): counts, distinct targets so far, and the last hour.
-
-    The events of the hour before midnight are sent to the next day as well, marked as context, so that the
-    rolling hour is right at the start of a day while a state never outlives its day.
-    """
-    hourly = params.max_queries_per_hour + 1
-    limits = {
-        "daily": (params.max_queries_per_day + 1, "EXCESSIVE_ACCESS",
-                  "CRITICAL" if params.max_queries_per_day + 1 > params.critical_queries_per_day else "HIGH"),
-        "daily_critical": (params.critical_queries_per_day + 1, "EXCESSIVE_ACCESS", "CRITICAL"),
-        "after_hours": (params.after_hours_threshold + 1, "AFTER_HOURS", "HIGH"),
-        "bulk": (params.bulk_export_per_day + 1, "BULK_EXPORT", "HIGH"),
-        "unique_targets": (params.unique_targets_per_day + 1, "EXCESSIVE_ACCESS", "MEDIUM"),
-        "hourly": (hourly, "EXCESSIVE_ACCESS",
-                   "CRITICAL" if hourly > params.critical_queries_per_hour else "HIGH"),
-    }
-    same_daily = params.critical_queries_per_day == params.max_queries_per_day
-
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        user, day = key
-        n, after, bulk, targets, recent, hours = state.get if state.exists else (0, 0, 0, [], [], [])
-        targets, recent, hours = list(targets), list(recent), [int(h) for h in hours]
-        known, out = set(targets), []
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "source_file", "line_no"])
-        for r in rows.itertuples(index=False):
-            # the newest max+2 timestamps tell whether the count is exactly max+1
-            at = int(r.ts_us)
-            recent = [int(t) for t in recent if t >= at - _HOUR_US] + [at]
-            recent = recent[-(hourly + 1):]
-            if r.is_context:
-                continue
-            n += 1
-            fired = [k for k in ("daily", "daily_critical") if n == limits[k][0] and not (same_daily and k != "daily")]
-            hour = at % _DAY_US // _HOUR_US
-            if len(recent) == hourly and hour not in hours:
-                hours.append(hour)
-                fired.append("hourly")
-            if r.has_pii and not params.business_hours_start <= hour < params.business_hours_end:
-                after += 1
-                fired += ["after_hours"] if after == limits["after_hours"][0] else []
-            if r.is_bulk:
-                bulk += 1
-                fired += ["bulk"] if bulk == limits["bulk"][0] else []
-            if r.target and r.target not in known and len(known) < limits["unique_targets"][0]:
-                known.add(r.target)
-                targets.append(r.target)
-                fired += ["unique_targets"] if len(known) == limits["unique_targets"][0] else []
-            out += [
-                (user, k, limits[k][1], limits[k][2], r.ts_us, r.source_file, r.line_no, limits[k][0]) for k in fired]
-        state.update((int(n), int(after), int(bulk), targets, recent, hours))
-        end_of_day = (int(day) + 1) * (_DAY_US // 1000)
-        state.setTimeoutTimestamp(max(end_of_day, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT_SCHEMA.split(", ")])
-
-    return step
-
-
-def stream_alerts(events: DataFrame, params: AuditParams, delay: str = "1 hour") -> DataFrame:
-    """Threshold alerts of an event stream (all but single exposure and surge), one row per crossing.
-
-    State is kept per user and day: counters, at most limit + 1 targets, at most limit + 2 timestamps and
-    the alerted clock hours. It ends with its day. Equal to the batch alerts for input that arrives in order.
-    """
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    day = F.floor(us / F.lit(_DAY_US)).cast("bigint")
-    late = us - day * _DAY_US >= _DAY_US - _HOUR_US
-    copies = F.when(late, F.array(F.struct(day.alias("day"), F.lit(False).alias("ctx")),
-                                  F.struct((day + 1).alias("day"), F.lit(True).alias("ctx")))).otherwise(
-        F.array(F.struct(day.alias("day"), F.lit(False).alias("ctx"))))
-    rows = (
-        events.withColumn("_at", F.col("ts").cast("timestamp"))
-        .withWatermark("_at", delay)
-        .select("_at", "user_id", "source_file", "line_no", "target", "has_pii", "is_bulk", us.alias("ts_us"),
-                F.explode(copies).alias("c"))
-        .select("_at", "user_id", "source_file", "line_no", "target", "has_pii", "is_bulk", "ts_us",
-                F.col("c.day").alias("day"), F.col("c.ctx").alias("is_context"))
-    )
-    return rows.groupBy("user_id", "day").applyInPandasWithState(
-        _day_alerts(params), ALERT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+def threshold_alerts(events: DataFrame, params: AuditParams) -> DataFrame:
+    """All threshold alerts but single exposure and surge, one row per crossing, with their ``kind``."""
+    found = reduce(DataFrame.unionByName, [
+        access.day_alerts(events, params), access.alert_hourly(events, params), access.alert_unique_targets(events, params)])
+    return access.alert_keys(found).withColumn("kind", F.substring_index("alert_key", "|", 1)).drop("alert_key")
+
+
+def stream_alerts(events: DataFrame, params: AuditParams, late_days: int = 2) -> DataFrame:
+    """The threshold alerts of an event stream, equal to those of a batch over its rows, late ones included."""
+    columns = ["user_id", "ts", "source_file", "line_no", "target", "has_pii", "is_bulk"]
+    return run_by_day(events.select(*columns), lambda rows: threshold_alerts(rows, params), late_days)
 
 
 def stream_single_exposure(events: DataFrame, params: AuditParams, delay: str = "2 days") -> DataFrame:
