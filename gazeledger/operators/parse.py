@@ -395,18 +395,23 @@ def parse_postgres(lines: DataFrame, params: AuditParams) -> DataFrame:
     return _pg_or_plain(skip_blank(lines), params)
 
 
-def parse_db(lines: DataFrame, params: AuditParams) -> DataFrame:
+def _db_marks() -> list[Column]:
+    """Aggregates of a file's lines: does it hold MySQL lines, Oracle marks?"""
+    line = F.col("raw_line")
+    return [
+        F.bool_or(matches(line, r"\A" + C.MYSQL_LINE)).alias("_has_mysql"),
+        F.bool_or(matches(line, r"\A" + C.ORACLE_START)).alias("_has_oracle"),
+    ]
+
+
+def parse_db(lines: DataFrame, params: AuditParams, kinds: DataFrame | None = None) -> DataFrame:
     """All database logs: MySQL lines, Oracle blocks, PostgreSQL lines, anything else.
 
-    One pass tells which files hold MySQL lines or Oracle marks. Only those files take the ordered passes;
-    all other lines stay a plain projection.
+    One pass tells which files hold MySQL lines or Oracle marks, unless ``kinds`` tells it already. Only those files take
+    the ordered passes; all other lines stay a plain projection.
     """
-    line = F.col("raw_line")
-    kinds = checked_broadcast(
-        skip_blank(lines).groupBy("source_file").agg(
-            F.bool_or(matches(line, r"\A" + C.MYSQL_LINE)).alias("_has_mysql"),
-            F.bool_or(matches(line, r"\A" + C.ORACLE_START)).alias("_has_oracle"),
-        ), "kinds")
+    if kinds is None:
+        kinds = checked_broadcast(skip_blank(lines).groupBy("source_file").agg(*_db_marks()), "kinds")
     mysql, oracle = kinds.agg(F.bool_or("_has_mysql"), F.bool_or("_has_oracle")).first()
     if not (mysql or oracle):
         return _pg_or_plain(skip_blank(lines), params)
@@ -470,42 +475,57 @@ def detect_format(lines: DataFrame, sample_size: int | None = None) -> DataFrame
     Score = share of matching lines × weight; the first declared format wins ties. One aggregate over all lines; with
     ``sample_size`` only that many first lines of a file count, and the rank bound keeps no more of them from each task.
     """
-    line = F.col("raw_line")
     sample = skip_blank(lines)
     if sample_size is not None:
         first = F.row_number().over(Window.partitionBy("source_file").orderBy("line_no"))
         sample = sample.withColumn("_n", first).where(F.col("_n") <= sample_size)
-    scores = sample.groupBy("source_file").agg(*[
-        (F.avg(matches(line, pattern, "(?imuUd)").cast("int")) * weight).alias(name)
+    return _best_format(sample.groupBy("source_file").agg(*_votes()))
+
+
+def _votes() -> list[Column]:
+    """Aggregates of a file's lines: the weighted share of lines that match each format."""
+    return [
+        (F.avg(matches(F.col("raw_line"), pattern, "(?imuUd)").cast("int")) * weight).alias(name)
         for name, pattern, weight, _ in C.FORMAT_SIGNATURES
-    ])
+    ]
+
+
+def _best_format(scores: DataFrame) -> DataFrame:
+    """``source_file, format, family, score`` and the columns of ``scores`` that are no votes."""
     ranked = F.array(*[
         F.struct(F.col(name).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("format"),
                  F.lit(family).alias("family"))
         for i, (name, _, _, family) in enumerate(C.FORMAT_SIGNATURES)
     ])
-    best = scores.select("source_file", F.array_max(ranked).alias("b"))
+    votes = [name for name, *_ in C.FORMAT_SIGNATURES]
+    others = [c for c in scores.columns if c != "source_file" and c not in votes]
+    best = scores.select("source_file", F.array_max(ranked).alias("b"), *others)
     found = F.col("b.score") > 0
     named = F.when(found & (F.col("b.family") != "generic"), F.col("b.format")).otherwise("generic")
-    detected = best.select(
+    return best.select(
         "source_file", named.alias("format"),
         F.when(found, F.col("b.family")).otherwise("generic").alias("family"),
-        F.col("b.score").alias("score"),
+        F.col("b.score").alias("score"), *others,
     )
-    return detected
 
 
 def parse(lines: DataFrame, params: AuditParams, log_format: str = "auto") -> DataFrame:
-    """Events of all lines, with a forced family or the one detected per file."""
+    """Events of all lines, with a forced family or the one detected per file.
+
+    Detection and the marks of database files share one pass over the lines; parsing is a second one.
+    """
     if log_format != "auto":
         return PARSERS[log_format](lines, params)
-    family = checked_broadcast(detect_format(lines).select("source_file", "family"), "families")
+    seen = _best_format(skip_blank(lines).groupBy("source_file").agg(*_votes(), *_db_marks()))
+    family = checked_broadcast(seen.select("source_file", "family", "_has_mysql", "_has_oracle"), "families")
+    kinds = family.where("family = 'db'").select("source_file", "_has_mysql", "_has_oracle")
     present = {row["family"] for row in family.select("family").distinct().collect()}  # at most four
-    routed = lines.join(family, "source_file", "left").withColumn("family", F.coalesce("family", F.lit("generic")))
-    parts = [
-        PARSERS[name](routed.where(F.col("family") == name).select(*_KEEP), params)
-        for name in ("db", "web", "app", "generic") if name in present
-    ]
+    routed = lines.join(family.select("source_file", "family"), "source_file", "left").withColumn("family", F.coalesce("family", F.lit("generic")))
+    parts = []
+    for name in ("db", "web", "app", "generic"):
+        if name in present:
+            own = routed.where(F.col("family") == name).select(*_KEEP)
+            parts.append(parse_db(own, params, kinds) if name == "db" else PARSERS[name](own, params))
     return reduce(DataFrame.unionByName, parts) if parts else parse_generic(lines, params)
 
 

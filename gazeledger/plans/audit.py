@@ -5,14 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gazeledger.operators import access, exposure, filters, history, justify, parse, pii, reports, risk
 from gazeledger.params import AuditParams
 from gazeledger.session import clear_folders, materialise
 from gazeledger.sources import store
-from gazeledger.sources.text import read_log_lines
+from gazeledger.sources.text import resolve_paths, scan_logs
+from gazeledger.sources.xml import read_xml_logs
 
 
 @dataclass
@@ -65,6 +66,21 @@ def analyze(
     return filters.select_findings(findings, misuse, excess), summary
 
 
+def read_inputs(spark: SparkSession, patterns: list[str], params: AuditParams, log_format: str) -> tuple[DataFrame, DataFrame]:
+    """Events of all files that the patterns name, and ``source_file, lines``. Files ending in ``.xml`` give the lines of their
+    records, free-form ones; those without records are read like any other file."""
+    paths = resolve_paths(spark, patterns)
+    in_xml = [p for p in paths if p.lower().endswith(".xml")]
+    records, plain = read_xml_logs(spark, in_xml)
+    lines, files = scan_logs(spark, [p for p in paths if p in plain or p not in in_xml])
+    events, counts = parse.parse(lines, params, log_format), files.select("source_file", "lines")
+    if len(plain) < len(in_xml):
+        records = materialise(records, "xml-lines")
+        events = events.unionByName(parse.parse_generic(records, params))
+        counts = counts.unionByName(records.groupBy("source_file").agg(F.count(F.lit(1)).alias("lines")))
+    return events, counts
+
+
 def run_audit(
     spark: SparkSession,
     log_files: list[str],
@@ -81,16 +97,18 @@ def run_audit(
 ) -> AuditResult:
     """Read, parse, scan, count, score, compare and rank.
 
-    Scanned events are written once, since counters, findings and roll-up all read them.
+    Scanned events are written once, since counters, findings and roll-up all read them. ``metrics`` counts what the run
+    read: lines from the counts of the splits, parsed events (of any period) on the way of the scan, so nothing is read
+    again; lines that gave no event of their own are skipped ones.
     """
     params = params or AuditParams()
     start = date.fromisoformat(str(start))
     end = date.fromisoformat(str(end))
     if params.year_hint is None:
         params = replace(params, year_hint=end.year)
-    lines = read_log_lines(spark, log_files)
-    parsed = parse.parse(lines, params, log_format)
-    events = materialise(scan_events(parsed, start, end), "events")
+    parsed, files = read_inputs(spark, log_files, params, log_format)
+    made = Observation("parsed events")
+    events = materialise(scan_events(parsed.observe(made, F.count(F.lit(1)).alias("n")), start, end), "events")
 
     old_counts = store.read_daily_counts(spark, history_folder) if history_folder else None
     findings, summary = analyze(events, params, end, old_counts, misuse, excess)
@@ -107,7 +125,7 @@ def run_audit(
         )
         store.save_daily_counts(access.daily_counts(counted(events)), history_folder, today or date.today(), params)
 
-    total_events, total_lines = events.count(), lines.count()
+    total_events, total_lines, parsed_events = events.count(), files.agg(F.sum("lines")).first()[0] or 0, made.get["n"]
     run_id = None
     if history_folder and save_history:
         run_id = store.write_snapshot(
@@ -127,4 +145,5 @@ def run_audit(
         tables["comparison"] = reports.rpt_comparison(shown, week, month)
     return AuditResult(
         events, listed, shown, week, month, items, tables,
-        {"total_events": total_events, "total_lines": total_lines}, run_id)
+        {"total_events": total_events, "total_lines": total_lines, "parsed_events": parsed_events,
+         "skipped_lines": total_lines - parsed_events}, run_id)
