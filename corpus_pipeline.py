@@ -20,26 +20,38 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, model)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, row``: a row without an id takes one from its text, in the top quarter of the range, so that rows of equal
+    texts are one document. Two texts share such an id with a chance of 2**-62. Rows without id and words keep NULL."""
+    made = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(2**62)
+    has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.when(has_words, made)).alias("doc_id"), "text",
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of every group of near-duplicates: five words, a similarity of 0.8.
 
     Rows that repeat a document's id are one document too: of them the row that comes first by its columns' hash stays.
-    Rows with a NULL id all stay.
+    Rows with a NULL id are judged like others, behind all that have one (see ``keyed``); without words they all stay.
     """
     small_batches(spark)
-    found = near_text.near_duplicates(docs, size=5, percent=80)
+    own = keyed(docs)
+    found = near_text.near_duplicates(own, size=5, percent=80)
     decided = materialise(found.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")), "decisions")
-    once = keep_ids(docs, materialise(decided.where("kept and n = 1 and doc_id is not null").select("doc_id"), "kept"), "doc_id")
-    repeated = keep_ids(docs, materialise(decided.where("kept and n > 1 and doc_id is not null").select("doc_id"), "repeated"), "doc_id")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    return once.union(repeated.withColumn("_place", place).where("_place = 1").drop("_place")).union(
-        docs.where("doc_id is null").select(*once.columns)).select(*docs.columns)
+    once = keep_ids(own, materialise(decided.where("kept and n = 1 and doc_id is not null").select("doc_id"), "kept"), "doc_id")
+    repeated = keep_ids(own, materialise(decided.where("kept and n > 1 and doc_id is not null").select("doc_id"), "repeated"), "doc_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("row")))
+    first = repeated.withColumn("place", place).where("place = 1")
+    return once.select("row.*").union(first.select("row.*")).union(own.where("doc_id is null").select("row.*"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return decontaminate.clean(docs, found).select(*docs.columns)
+    """Documents that hold no benchmark item, those with a NULL id included."""
+    own = keyed(docs)
+    found = decontaminate.contained_items(own, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(own, found).select("row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
